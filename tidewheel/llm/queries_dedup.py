@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from .minhash import near_duplicates
+from .vectors import near_vectors
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
 
 
-QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+def op3_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
+QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup}
 SQL = {}

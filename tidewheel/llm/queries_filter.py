@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import quality
+from .shared import crc_mod5
 from .url_filter import judge_urls
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -28,5 +32,13 @@ ranked as (select p.page_id, p.host, p.path, r.rule, r.verdict,
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from ranked where rn = 1
 """
 
-QUERIES = {"op1_url_filter_cascade": op1_url_filter_cascade}
+
+def op4_quality_boosted(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality.score_quality(docs, model)
+    return out.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= quality.LIMIT).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_url_filter_cascade": op1_url_filter_cascade, "op4_quality_boosted": op4_quality_boosted}
 SQL = {"op1_url_filter_cascade": SQL_OP1}

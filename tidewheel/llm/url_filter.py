@@ -166,5 +166,5 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
             keep = [batch.column(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*keep, pick, pa.array(names, pa.string(), mask=~there)], names=[*batch.schema.names[:-2], "__pick", "__verdict"])
 
-    out = keyed.mapInArrow(look_up, keyed.drop("__h1", "__h2").withColumn("__pick", F.lit(1)).withColumn("__verdict", F.lit("")).schema)
+    out = keyed.mapInArrow(look_up, keyed.drop("__h1", "__h2").withColumn("__pick", F.lit(None).cast("int")).withColumn("__verdict", F.lit(None).cast("string")).schema)
     return out.withColumn("rule", F.get("__keys", F.col("__pick") - 1)).withColumn("verdict", F.coalesce("__verdict", F.lit(default))).drop("__keys", "__pick", "__verdict")
