@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import quality
+from . import language, quality
 from .shared import crc_mod5
 from .url_filter import judge_urls
 
@@ -40,5 +41,13 @@ def op4_quality_boosted(spark, sf_dir):
     return out.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= quality.LIMIT).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_url_filter_cascade": op1_url_filter_cascade, "op4_quality_boosted": op4_quality_boosted}
+def op5_language_segmentation(spark, sf_dir, path=None):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    pieces = language.vocabulary(path or public_tokenizers.path("piece_bpe_32k.model"))
+    langs, table = language.train(docs, pieces)
+    out = language.identify(docs.select("doc_id", "text"), langs, table, pieces)
+    return out.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_url_filter_cascade": op1_url_filter_cascade, "op5_language_segmentation": op5_language_segmentation, "op4_quality_boosted": op4_quality_boosted}
 SQL = {"op1_url_filter_cascade": SQL_OP1}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_filter
+from . import queries_dedup, queries_filter, queries_mix
 
 
 def queries():
-    return queries_filter.QUERIES | queries_dedup.QUERIES
+    return queries_filter.QUERIES | queries_dedup.QUERIES | queries_mix.QUERIES
 
 
 def oracle_sql():
-    return queries_filter.SQL | queries_dedup.SQL
+    return queries_filter.SQL | queries_dedup.SQL | queries_mix.SQL
