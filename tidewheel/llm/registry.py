@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_filter, queries_mix
+from . import queries_dedup, queries_filter, queries_mix, queries_scan
+
+PARTS = (queries_filter, queries_dedup, queries_mix, queries_scan)
 
 
 def queries():
-    return queries_filter.QUERIES | queries_dedup.QUERIES | queries_mix.QUERIES
+    return {k: f for part in PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return queries_filter.SQL | queries_dedup.SQL | queries_mix.SQL
+    return {k: f for part in PARTS for k, f in part.SQL.items()}
