@@ -163,10 +163,10 @@ def q_range_projection(spark, d):
     return demo_records(spark)
 
 
-@query(f"with {GOLDEN} select batch_id, task_index, fetch_id, {_hid('orders-jsonl')} as jsonl_id, {_hid('orders-csv')} as csv_id from f")
+@query(f"with {GOLDEN} select batch_id, task_index, fetch_id, {_hid('orders:orders_to_jsonl')} as jsonl_id, {_hid('orders:orders_to_csv')} as csv_id from f")
 def q_stable_id(spark, d):
     at = [F.col(c) for c in ("task_index", "start_offset", "end_offset")]
-    of = {n: ids.handler_id(F.col("batch_id"), F.lit(h), *at).alias(n) for n, h in (("jsonl_id", "orders-jsonl"), ("csv_id", "orders-csv"))}
+    of = {n: ids.handler_id(F.col("batch_id"), F.lit(h), *at).alias(n) for n, h in (("jsonl_id", "orders:orders_to_jsonl"), ("csv_id", "orders:orders_to_csv"))}
     return demo_slices(spark).select("batch_id", "task_index", "fetch_id", *of.values())
 
 

@@ -1,0 +1,424 @@
+"""Continuous planning over many sources: observe, allocate, run ranges, commit.
+
+Each range runs as a call on a pool of driver threads that submits Spark jobs; Spark's scheduler places
+their tasks. Three steps, each also usable on its own, make up a cycle: observe() takes watermarks and
+backlog, trigger() ranks and allocates and starts batches, settle() retries, fans out and commits.
+A shard has one batch at a time; its position moves only when the whole batch has ended.
+"""
+
+from __future__ import annotations
+
+import threading
+import time
+from concurrent.futures import Future, ThreadPoolExecutor
+
+from ..functions.ids import stable_id_of
+from ..sources.log_stream import even_slices
+from ..types import BATCHES_SCHEMA, RUNS_SCHEMA, SOURCES_SCHEMA, Batch, EmptyTable, HandlerSpec, LogSource, Request, RetentionGap, Run, SpecError, StaleBatch, State
+from .checkpoints import MemoryCheckpoints
+
+LIVE = ("submitted", "running")
+
+
+class Policy:
+    """How many tasks a shard gets, and which shard goes first."""
+
+    max_in_flight, alpha = 64, 0.3
+
+    def __init__(self, max_in_flight: int = 64):
+        self.max_in_flight = max_in_flight
+
+    def tasks(self, spec: HandlerSpec, backlog: int, slots: int, cpus: float) -> int:
+        n = min(spec.max_parallelism, -(-backlog // spec.batch_size), slots)
+        return max(0, n if spec.stateful else min(n, int(cpus // spec.cpus_per_task)))
+
+    def priority(self, spec: HandlerSpec, state: State, now: float):
+        rate = state.processing_rate
+        return (spec.priority, state.backlog, state.backlog / max(rate, 1e-6) if rate > 0 else float(state.backlog), now - state.scheduled_at)
+
+    def smooth(self, old: float, new: float) -> float:
+        return new if old == 0 else self.alpha * new + (1 - self.alpha) * old
+
+
+class ThreadBackend:
+    """Runs calls on threads; keeps one object for each handler class."""
+
+    def __init__(self, threads: int = 8, cpus: float | None = None):
+        self.pool, self.objects, self.lock = ThreadPoolExecutor(threads), {}, threading.Lock()
+        self.total = float(cpus if cpus is not None else threads)
+
+    def submit(self, spec: HandlerSpec, request: Request, records=None) -> Future:
+        target = spec.run
+        if spec.stateful:
+            with self.lock:
+                held = self.objects.setdefault(spec.handler_id, None) or spec.run()
+                self.objects[spec.handler_id] = held
+            target = getattr(held, spec.method)
+        if spec.args:
+            args, kwargs = spec.args(request)
+            return self.pool.submit(target, *args, **kwargs)
+        return self.pool.submit(target, request, records) if spec.fetch else self.pool.submit(target, request)
+
+    def fetch(self, spec: HandlerSpec, request: Request) -> Future:
+        return self.pool.submit(spec.fetch, request)
+
+    def cpus(self) -> float:
+        return self.total
+
+    def close(self) -> None:
+        self.pool.shutdown(wait=False, cancel_futures=True)
+
+
+class Dispatcher:
+    """client: log_watermarks(source), table_high_watermark(source), table_count(source, start, end), table_ranges(source, start, end, n, size)."""
+
+    def __init__(self, handlers, client, backend=None, checkpoints=None, policy=None, intervals=(5.0, 1.0, 1.0), keep=1000):
+        handlers = tuple(handlers)
+        self.handlers = {h.handler_id: h for h in handlers}
+        if not handlers or len(self.handlers) < len(handlers):
+            raise SpecError("handlers are missing or share a name")
+        if min(intervals) <= 0:
+            raise SpecError("intervals are positive")
+        for h in handlers:
+            if len({s.source_id for s in h.sources}) < len(h.sources):
+                raise SpecError(f"{h.handler_id}: source ids repeat")
+        self.client, self.backend, self.checkpoints = client, backend or ThreadBackend(), checkpoints or MemoryCheckpoints()
+        self.policy, self.intervals, self.keep = policy or Policy(), intervals, keep
+        self.groups: dict[str, list[HandlerSpec]] = {}
+        for h in handlers:
+            if h.shared_source_group:
+                self.groups.setdefault(h.shared_source_group, []).append(h)
+        for name, members in self.groups.items():
+            _check_group(name, members)
+        self.states: dict[str, State] = {}
+        self.batches: dict[str, Batch] = {}
+        self.runs: dict[str, Run] = {}
+        self.records: dict[str, object] = {}
+        self.failed_ranges: list[dict] = []
+        self.errors: list[Exception] = []
+        self.before: set = set()
+        self.lock, self.halt, self.threads = threading.RLock(), threading.Event(), []
+
+    # ------------------------------------------------------------- observe
+
+    def observe(self) -> dict[str, int]:
+        """Backlog of each shard. All sources are looked at; errors of some are raised together at the end."""
+        with self.lock:
+            errors, seen, done = [], {}, set()
+            self.before = {(s.owner, s.source.physical()) for s in self.states.values()}
+            for h in self.handlers.values():
+                for source in h.sources:
+                    owner = ("shared", h.shared_source_group) if h.shared_source_group else (h.handler_id,)
+                    if (owner, source.physical()) in done:
+                        continue
+                    done.add((owner, source.physical()))
+                    try:
+                        look = seen.get(source.physical())
+                        if look is None:
+                            look = self.client.log_watermarks(source) if isinstance(source, LogSource) else self.client.table_high_watermark(source)
+                            seen[source.physical()] = look
+                    except Exception as e:
+                        errors.append(e)
+                        continue
+                    shards = sorted(look.items()) if isinstance(source, LogSource) else [(source.table, look)]
+                    for shard, mark in shards:
+                        try:
+                            key = ":".join([*owner, source.source_id, str(shard)])
+                            (self._see_log if isinstance(source, LogSource) else self._see_table)(key, h, source, shard, mark)
+                        except Exception as e:  # one shard's gap does not hide the others
+                            errors.append(e)
+            if errors:
+                raise errors[0] if len(errors) == 1 else ExceptionGroup("observation failed", errors)
+            return {k: s.backlog for k, s in self.states.items()}
+
+    def _state(self, key, h, source, shard, first):
+        state = self.states.get(key)
+        if state is None:
+            at = self.checkpoints.load(key)
+            if at is None:
+                at = first
+                self.checkpoints.save(key, at)  # at once: a restart must not skip what comes next
+            state = self.states[key] = State(key, h.handler_id, source, shard, at, at, group=h.shared_source_group)
+        return state
+
+    def _see_log(self, key, h, source, shard, mark):
+        low, high = mark
+        if low < 0 or high < low:
+            raise ValueError(f"{key}: invalid watermarks {mark}")
+        late = (h.handler_id, source.physical()) in self.before  # a shard that appears later starts at its low
+        first = low if source.initial_offset == "earliest" or late else high
+        new = key not in self.states
+        state = self._state(key, h, source, shard, first)
+        if not low <= state.committed <= high:
+            side, bound = ("below retained", low) if state.committed < low else ("above available", high)
+            state.gap = f"committed {state.committed} is {side} {bound}"
+            if source.retention_policy == "error" or state.active_batch:
+                raise RetentionGap(f"{key}: {state.gap}")
+            self.checkpoints.save(key, low)
+            state.committed, state.observed = low, low
+        state.gap = None
+        now = time.monotonic()
+        if not new:
+            rate = max(0, high - state.observed) / max(now - state.observed_at, 1e-6)
+            state.arrival_rate = self.policy.smooth(state.arrival_rate, rate)
+        state.observed, state.observed_at, state.backlog = high, now, max(0, high - state.committed)
+
+    def _see_table(self, key, h, source, shard, mark):
+        if mark is None:
+            if source.initial_cursor is None:
+                raise EmptyTable(f"{key}: no rows and no initial cursor")
+            mark = source.initial_cursor
+        new = key not in self.states
+        state = self._state(key, h, source, shard, source.initial_cursor or mark)
+        n = max(0, self.client.table_count(source, state.committed, mark)) if state.committed < mark else 0
+        now = time.monotonic()
+        if not new:
+            state.arrival_rate = self.policy.smooth(state.arrival_rate, max(0, n - state.backlog) / max(now - state.observed_at, 1e-6))
+        state.observed, state.observed_at, state.backlog = mark, now, n
+
+    # ------------------------------------------------------------- trigger
+
+    def _live(self):
+        return [r for r in self.runs.values() if r.status in LIVE]
+
+    def _sink(self, h):
+        return (h.output.connection_id, h.output.target) if h.output else None
+
+    def _sink_room(self, h, live):
+        sink = self._sink(h)
+        if sink is None:
+            return self.policy.max_in_flight
+        limit = min(x.output.max_parallelism for x in self.handlers.values() if self._sink(x) == sink)
+        return limit - sum(r.kind == "handler" and self._sink(self.handlers[r.handler_id]) == sink for r in live)
+
+    def trigger(self) -> list[str]:
+        """Start batches in order of priority until slots or cpus run out. One source's error leaves the others their turn."""
+        with self.lock:
+            now, live, started = time.monotonic(), self._live(), []
+            held = sum(b.reserved for b in self.batches.values() if b.status == "running")
+            free, cpus = self.policy.max_in_flight - len(live) - held, self.backend.cpus()
+            ready = [s for s in self.states.values() if s.backlog > 0 and s.active_batch is None and s.gap is None]
+            ready.sort(key=lambda s: self.policy.priority(self.handlers[s.owner], s, now), reverse=True)
+            for state in ready:
+                if free <= 0:
+                    break
+                try:
+                    if state.group:
+                        members = self.groups[state.group]
+                        n = self._shared_tasks(members, state, free, cpus)
+                        if n:
+                            started += self._start_shared(members, state, n)
+                            free -= n * (len(members) + 1)
+                            cpus -= n * max(members[0].fetch_cpus, sum(m.cpus_per_task for m in members if not m.stateful))
+                        continue
+                    h = self.handlers[state.owner]
+                    mine = sum(r.handler_id == h.handler_id and r.kind == "handler" for r in self._live())
+                    n = self.policy.tasks(h, state.backlog, min(free, h.max_parallelism - mine, self._sink_room(h, self._live())), cpus)
+                    if n > 0:
+                        started += self._start(h, state, n)
+                        free -= n
+                        cpus -= 0 if h.stateful else n * h.cpus_per_task
+                except Exception as e:
+                    self.errors.append(e)
+            return started
+
+    def _shared_tasks(self, members, state, free, cpus) -> int:
+        live = [r for r in self._live() if r.kind == "handler"]
+        counts = [-(-state.backlog // min(m.batch_size for m in members)), free // (len(members) + 1)]
+        counts += [m.max_parallelism - sum(r.handler_id == m.handler_id for r in live) for m in members]
+        for m in members:
+            if (sink := self._sink(m)) is not None:
+                counts.append(self._sink_room(m, live) // sum(self._sink(x) == sink for x in members))
+        counts.append(int(cpus // max(members[0].fetch_cpus, sum(m.cpus_per_task for m in members if not m.stateful))))
+        return max(0, min(counts))
+
+    def _ranges(self, state, n, size):
+        if isinstance(state.source, LogSource):
+            end = min(state.observed, state.committed + n * size)
+            return [(a, z, z - a) for a, z in even_slices(state.committed, end, n)]
+        return [tuple(x) for x in self.client.table_ranges(state.source, state.committed, state.observed, n, size)]
+
+    def _request(self, name, h, state, i, n, start, end, output=True) -> Request:
+        s = state.source
+        log = isinstance(s, LogSource)
+        where = {"partition": state.shard, "start_offset": start, "end_offset": end, "topic": s.topic} if log else {"start_cursor": start, "end_cursor": end, "table": s.table}
+        return Request(name, h.handler_id, s.source_id, "log" if log else "table", i, n, output=h.output if output else None, source_connection_id=s.connection_id, **where)
+
+    def _open(self, state, handlers, ident, found) -> Batch | None:
+        if not found:
+            return None
+        start, end = state.committed, found[-1][1]
+        batch = Batch(stable_id_of(*ident, start, end), state.key, start, end, sum(x[2] for x in found), handlers, began=time.monotonic())
+        self.batches[batch.batch_id] = batch
+        state.active_batch, state.scheduled_at = batch.batch_id, time.monotonic()
+        return batch
+
+    def _start(self, h, state, n) -> list[str]:
+        found = self._ranges(state, n, h.batch_size)
+        batch = self._open(state, (h.handler_id,), (h.handler_id, state.key), found)
+        for i, (a, z, _) in enumerate(found):
+            rid = stable_id_of(batch.batch_id, i, a, z)
+            self._add(Run(rid, batch.batch_id, h.handler_id, "handler", self._request(rid, h, state, i, len(found), a, z)))
+            batch.run_ids.append(rid)
+        return list(batch.run_ids) if batch else []
+
+    def _start_shared(self, members, state, n) -> list[str]:
+        found = self._ranges(state, n, min(m.batch_size for m in members))
+        group = members[0].shared_source_group
+        batch = self._open(state, tuple(m.handler_id for m in members), ("shared", group, state.key), found)
+        for i, (a, z, _) in enumerate(found):
+            rid = stable_id_of(batch.batch_id, "fetch", i, a, z)
+            self._add(Run(rid, batch.batch_id, members[0].handler_id, "fetch", self._request(rid, members[0], state, i, len(found), a, z, output=False)))
+            batch.fetch_ids.append(rid)
+        if batch:
+            batch.reserved = len(found) * len(members)
+        return list(batch.fetch_ids) if batch else []
+
+    def _add(self, run: Run) -> None:
+        self.runs[run.run_id] = run
+        self._submit(run)
+
+    def _submit(self, run: Run) -> None:
+        h = self.handlers[run.handler_id]
+        run.attempt += 1
+        try:
+            if run.kind == "fetch":
+                run.future = self.backend.fetch(h, run.request)
+            else:
+                run.future = self.backend.submit(h, run.request, self.records.get((run.batch_id, run.request.task_index)))
+            run.status = "submitted"
+        except Exception as e:
+            run.future = Future()
+            run.future.set_exception(e)
+
+    # -------------------------------------------------------------- settle
+
+    def settle(self) -> dict[str, str]:
+        """Take results, retry, hand fetched ranges out once all are there, and end batches."""
+        with self.lock:
+            for run in self._live():
+                if not run.future.done():
+                    run.status = "running"
+                elif (error := run.future.exception()) is None:
+                    run.status = "succeeded"
+                    if run.kind == "fetch":
+                        self.records[run.batch_id, run.request.task_index] = run.future.result()
+                    run.future = None
+                else:
+                    h = self.handlers[run.handler_id]
+                    run.error = str(error)
+                    if run.attempt <= (h.fetch_max_retries if run.kind == "fetch" else h.max_retries):
+                        self._submit(run)  # the same request again, and for handlers the same records
+                    else:
+                        run.status = "failed"
+            for batch in [b for b in self.batches.values() if b.status == "running"]:
+                try:
+                    self._advance(batch)
+                except Exception as e:
+                    self.errors.append(e)
+            return {r.run_id: r.status for r in self.runs.values()}
+
+    def _advance(self, batch: Batch) -> None:
+        fetches, runs = [self.runs[i] for i in batch.fetch_ids], [self.runs[i] for i in batch.run_ids]
+        if any(r.status in LIVE for r in (*fetches, *runs)):
+            return
+        if fetches and all(r.status == "succeeded" for r in fetches) and not runs:
+            state = self.states[batch.key]
+            batch.reserved = 0
+            for fetch in fetches:
+                q = fetch.request
+                for name in batch.handlers:
+                    rid = stable_id_of(batch.batch_id, name, q.task_index, q.start_offset, q.end_offset, q.start_cursor, q.end_cursor)
+                    own = self._request(rid, self.handlers[name], state, q.task_index, q.task_count, *((q.start_offset, q.end_offset) if q.source_kind == "log" else (q.start_cursor, q.end_cursor)))
+                    batch.run_ids.append(rid)
+                    self._add(Run(rid, batch.batch_id, name, "handler", own))
+            return
+        self._finish(batch, all(r.status == "succeeded" for r in (*fetches, *runs)))
+
+    def _finish(self, batch: Batch, ok: bool) -> None:
+        """The position is saved before anything else; a stale batch moves nothing and frees its shard."""
+        state = self.states[batch.key]
+        stale = state.active_batch != batch.batch_id or state.committed != batch.start
+        if not stale:
+            self.checkpoints.save(batch.key, batch.end)  # if this fails the batch stays and is tried again
+            state.committed = batch.end
+            state.backlog = max(0, state.backlog - batch.item_count)
+            if ok:
+                rate = batch.item_count / max(time.monotonic() - batch.began, 1e-6)
+                state.processing_rate = self.policy.smooth(state.processing_rate, rate)
+        if state.active_batch == batch.batch_id:
+            state.active_batch = None
+        batch.status, batch.reserved = ("succeeded" if ok and not stale else "failed"), 0
+        own = [self.runs[i] for i in (*batch.fetch_ids, *batch.run_ids)]
+        for r in own:
+            self.records.pop((batch.batch_id, r.request.task_index), None)
+        if not ok:
+            self.failed_ranges.append({"batch_id": batch.batch_id, "key": batch.key, "start": batch.start, "end": batch.end, "handlers": {r.run_id: (r.handler_id, r.status, r.error) for r in own}})
+        self._prune()
+        if stale:
+            raise StaleBatch(f"{batch.batch_id}: {batch.key} has moved on")
+
+    def _prune(self) -> None:
+        ended = [b for b in self.batches.values() if b.status != "running"]
+        for b in ended[: max(0, len(ended) - self.keep)]:
+            del self.batches[b.batch_id]
+            for i in (*b.fetch_ids, *b.run_ids):
+                self.runs.pop(i, None)
+
+    # --------------------------------------------------------------- loops
+
+    def start(self) -> None:
+        if self.threads:
+            return
+        self.halt.clear()
+        for step, every in zip((self.observe, self.trigger, self.settle), self.intervals, strict=True):
+            t = threading.Thread(target=self._loop, args=(step, every), daemon=True)
+            self.threads.append(t)
+            t.start()
+
+    def _loop(self, step, every) -> None:
+        due = time.monotonic()
+        while not self.halt.is_set():
+            try:
+                step()
+            except Exception as e:
+                self.errors.append(e)
+            due = max(due + every, time.monotonic())
+            self.halt.wait(due - time.monotonic())
+
+    def stop(self) -> None:
+        self.halt.set()
+        for t in self.threads:
+            t.join()
+        self.threads = []
+
+    def idle(self) -> bool:
+        return bool(self.states) and all(s.backlog == 0 and s.active_batch is None for s in self.states.values())
+
+    def snapshot(self, spark):
+        """(sources, batches, runs) as DataFrames."""
+        with self.lock:
+            kind = lambda s: "log" if isinstance(s, LogSource) else "table"
+            sources = [(s.key, s.owner, s.group, s.source.source_id, kind(s.source), str(s.shard), str(s.committed), str(s.observed), s.backlog, s.arrival_rate, s.processing_rate, s.active_batch, s.gap) for s in self.states.values()]
+            batches = [(b.batch_id, b.status, list(b.handlers), b.item_count, b.fetch_ids, b.run_ids) for b in self.batches.values()]
+            runs = []
+            for r in self.runs.values():
+                o, q = r.request.output, r.request
+                runs.append((r.run_id, r.batch_id, r.handler_id, r.status, r.kind, r.attempt, r.error, o and o.connection_id, o and o.target, o and o.output_format, q.source_connection_id, q.topic, q.table))
+        return spark.createDataFrame(sources, SOURCES_SCHEMA), spark.createDataFrame(batches, BATCHES_SCHEMA), spark.createDataFrame(runs, RUNS_SCHEMA)
+
+
+def _check_group(name: str, members: list[HandlerSpec]) -> None:
+    one = lambda values: len(set(values)) == 1
+    src = [m.sources[0] for m in members]
+    tests = {
+        "needs two members": len(members) >= 2,
+        "has several physical sources": one(s.physical() for s in src),
+        "has several fetchers": one(m.fetcher_id for m in members),
+        "has several fetch policies": one((m.fetch_cpus, m.fetch_max_retries) for m in members),
+        "has several source ids": one(s.source_id for s in src),
+        "has several startup policies": one((s.initial_offset, s.retention_policy) if isinstance(s, LogSource) else s.initial_cursor for s in src),
+    }
+    for what, ok in tests.items():
+        if not ok:
+            raise SpecError(f"group {name!r} {what}")

@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import types as T
-
 
 class SpecError(ValueError):
     """A specification that cannot work."""
@@ -228,6 +226,6 @@ class Batch:
     began: float = 0.0
 
 
-SOURCES_SCHEMA = T.StructType.fromDDL("key string, handler string, shared_group string, source_id string, kind string, shard string, committed string, observed string, backlog long, arrival_rate double, processing_rate double, active_batch_id string, retention_gap string")
-BATCHES_SCHEMA = T.StructType.fromDDL("batch_id string, status string, handlers array<string>, item_count long, fetch_run_ids array<string>, run_ids array<string>")
-RUNS_SCHEMA = T.StructType.fromDDL("run_id string, batch_id string, handler string, status string, kind string, attempt int, error string, output_connection string, output_target string, output_format string, source_connection string, topic string, `table` string")
+SOURCES_SCHEMA = "key string, handler string, shared_group string, source_id string, kind string, shard string, committed string, observed string, backlog long, arrival_rate double, processing_rate double, active_batch_id string, retention_gap string"
+BATCHES_SCHEMA = "batch_id string, status string, handlers array<string>, item_count long, fetch_run_ids array<string>, run_ids array<string>"
+RUNS_SCHEMA = "run_id string, batch_id string, handler string, status string, kind string, attempt int, error string, output_connection string, output_target string, output_format string, source_connection string, topic string, `table` string"
