@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .boost import Boosted, fit
 from .shared import Words, chunks, crc_mod5, mix, small_batches
 
-SAMPLE = 20_000
+SAMPLE, STATISTICS = 20_000, 22
 LIMIT = 0.3
 
 
@@ -66,7 +66,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
             distinct / some, most / some, pairs / some, top_pair / some, repeat / some, distinct / np.sqrt(some),
             per_text(length <= 3, w.bounds) / some, per_text(length > 15, w.bounds) / some, kinds[5] / some, kinds[4] / some, kinds[6] / some,
         ], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 21))
+    return np.concatenate(out) if out else np.zeros((0, STATISTICS))
 
 
 def _distinct(doc, values, n):
@@ -83,7 +83,7 @@ def _distinct(doc, values, n):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, target: str = "quality") -> Boosted:
-    """A model of labels.<target>; the sample's statistics (at most `sample` rows of 21 numbers) come to the driver."""
+    """A model of labels.<target>; the sample's statistics (at most `sample` rows of STATISTICS numbers) come to the driver."""
     labels = labels.select(F.col("doc_id").alias("doc_id"), F.col(target).alias("y")).where("y in (0, 1) and doc_id is not null").where(crc_mod5(F.col("doc_id")) != 0)
     labels = labels.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y"))
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, target: str
 
     got = rows.mapInArrow(run, "doc_id long, y double, x array<double>").toArrow()
     if not got.num_rows:
-        return fit(np.zeros((0, 21)), np.zeros(0))
+        return fit(np.zeros((0, STATISTICS)), np.zeros(0))
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     y, ids = got["y"].to_numpy(), got["doc_id"].to_numpy()
     order = np.lexsort((x[:, 0], ids))
