@@ -43,7 +43,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFr
     full = F.coalesce(F.sum("most").over(before), F.lit(0.0))
     open_ = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     per = per.withColumn("level", (F.sum("source_size").over(every) - full) / open_)
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(every))
+    per = per.withColumn("level", F.max("level").over(every))  # it rises over full sources and falls after them
     return per.select("source", "source_size", F.coalesce(F.least("most", F.col("level") * F.col("weight")), "most").alias("target"))
 
 
