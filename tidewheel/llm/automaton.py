@@ -62,6 +62,8 @@ class _Parser:
             return node
         if c == "[":
             found: set[int] = set()
+            other = self.peek() == "^"
+            self.at += other
             while self.peek() != "]":
                 low = self.char(self.take())
                 high = low
@@ -70,7 +72,7 @@ class _Parser:
                     high = self.char(self.take())
                 found |= set(range(low, high + 1))
             self.take()
-            return ("set", frozenset(found))
+            return ("set", frozenset(range(256)) - found if other else frozenset(found))
         return ("set", frozenset([self.char(c)]))
 
     def char(self, c: str) -> int:
