@@ -84,7 +84,8 @@ def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(TOKENIZER)
-    rows = [(5, "Hello world"), (3, None), (9, ""), (4, "é ß # <x>"), (1, "word " * 60_000), (7, "a\n\nb")]
+    tok.encode_special_tokens = True  # their strings are ordinary text in a document
+    rows = [(5, "Hello world"), (3, None), (9, ""), (4, "é ß # <x>"), (1, "word " * 60_000), (7, "a\n\nb"), (11, "a\n \nb  c \n d"), (12, " lead and trail "), (13, "it's <|endoftext|> 3.5\u00a0km don't"), (14, "x\n\n y"), (15, "tab\t z")]
     rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: r for r in token_files.tokenise(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int"), TOKENIZER).collect()}
     start = 0

@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from .shared import new_path, small_batches, staged
 
 MAGIC, CHUNK, END_ID = b"TWBP1\n", 1 << 16, 2
+KNOWN_PIECES = 1_000_000
 
 
 def encode_chunk(ids: np.ndarray) -> tuple[bytes, list[int]]:
@@ -116,6 +118,66 @@ def read_shard(source):
         parts, have = [ids[count:]], have - count
 
 
+class Encoder:
+    """The library's ids of whole texts, each distinct piece encoded once.
+
+    Pieces are cut before single blanks. The vocabulary's splitting pattern takes such a blank with what
+    follows, so a cut there changes nothing; a text in which a blank touches other white space is encoded whole.
+    """
+
+    def __init__(self, source: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_str(source)
+        self.tok.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}  # ids of a piece with a blank before it
+        self.first: dict[str, bytes] = {}  # ids of a text's first piece
+        vocab = self.tok.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id; a byte is a character in the vocabulary
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that end with no blank, encoded as one text with a blank before each and cut by their bytes."""
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in pieces])) + 1
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.uint32).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KNOWN_PIECES:
+            self.known, self.first = {}, {}
+        cut: list[list[str] | None] = []
+        firsts, new = set(), set()
+        for t in texts:
+            pieces = t.split(" ")
+            fresh = set(pieces[1:]).difference(self.known)
+            if len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()) or any(not x or x[0].isspace() or x[-1].isspace() for x in fresh):
+                cut.append(None)
+            else:
+                firsts.add(pieces[0])
+                cut.append(pieces)
+                new |= fresh
+        firsts = list(firsts.difference(self.first))
+        self.first.update(zip(firsts, self._library(firsts), strict=True))
+        rest = list(new)
+        for lo in range(0, len(rest), 512):
+            part = rest[lo : lo + 512]
+            self.known.update(zip(part, self._joined(part), strict=True))
+        whole = iter(self._library([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
+        get = self.known.__getitem__
+        return [next(whole) if pieces is None else self.first[pieces[0]] + b"".join(map(get, pieces[1:])) for pieces in cut]
+
+
+@lru_cache(maxsize=2)
+def encoder(source: str) -> Encoder:
+    return Encoder(source)
+
+
 def _file_system(path: str):
     from pyarrow import fs
 
@@ -133,9 +195,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         tok = writer = None
         fs, root = _file_system(folder)
         shard = TaskContext.get().partitionId()
@@ -143,15 +202,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         tokens = 0
         for batch in batches:
             if writer is None:
-                tok = Tokenizer.from_str(held.value)
-                tok.encode_special_tokens = True
+                tok = encoder(held.value)
                 fs.create_dir(root)
                 sink = fs.open_output_stream(trial)
                 writer = ShardWriter(sink)
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(names), 256):
-                for name, got in zip(names[lo : lo + 256], tok.encode_batch_fast([t or "" for t in texts[lo : lo + 256]], add_special_tokens=False), strict=True):
-                    ids = np.array([*got.ids, end_id], np.uint32)
+                for name, got in zip(names[lo : lo + 256], tok.encode([t or "" for t in texts[lo : lo + 256]]), strict=True):
+                    ids = np.append(np.frombuffer(got, np.uint32), np.uint32(end_id))
                     tokens += len(ids)
                     writer.add(name, ids)
         if writer is not None:
