@@ -5,8 +5,9 @@ minimum; an empty bin takes the value of a bin found by a hash sequence of its o
 densification). Bins form bands, bands are bucket keys. Identical sets are one class from the start.
 In a bucket only star edges from one centre are candidates, so their number is at most that of the
 members; the centre is the member that meets most others, a group's original rather than a variant.
-Candidates are confirmed on whole sets. Buckets that still hold several components take a further
-centre in each following round until every pair in them has been decided, so a bucket loses no link.
+Candidates are confirmed on whole sets. Where a bucket still holds several components, its members outside
+the largest of them are compared with all its members, on whole sets, in tiles of at most TILE by TILE
+documents that write out one link for each component met; so a bucket loses no link and writes no pairs.
 
 Null or wordless texts have an empty set and link with nothing. Rows that repeat a doc_id are kept,
 one result each. Extra columns of the input are ignored.
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, discard, mix, shingle_sets, small_batches, staged
+from .shared import components, mix, shingle_sets, small_batches, staged
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 80, 160, 5
-STAR_ROUNDS = 4
+TILE = 512
 
 
 def densify_table(bins: int, tries: int = 512) -> np.ndarray:
@@ -83,6 +84,32 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _tile(k: int, percent: int):
+    """Links between the members outside the largest component and all members of a tile, one for each component met."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, outside = (table[c].to_numpy() for c in ("doc_id", "comp", "outside"))
+        sets = list(shingle_sets(table["text"], k))
+        there, asking = np.flatnonzero(~outside), np.flatnonzero(outside)
+        sizes = np.array([len(sets[i]) for i in there], np.int64)
+        out: list[tuple[int, int]] = []
+        if len(there) and len(asking):
+            values, owner = np.concatenate([sets[i] for i in there]), np.repeat(np.arange(len(there)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for x in asking:
+                low, high = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+                n = high - low
+                at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(there))
+                ok = np.flatnonzero((both > 0) & (100 * both >= percent * (len(sets[x]) + sizes - both)) & (comp[there] != comp[x]))
+                for i in ok[np.unique(comp[there[ok]], return_index=True)[1]]:
+                    out.append((int(ids[x]), int(ids[there[i]])))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -91,7 +118,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sig = staged(docs.mapInArrow(_signatures(shingle, bins, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = sig.join(classes.select("rep", F.col("n_shingles").alias("m"), F.col("k1").alias("c1"), F.col("k2").alias("c2")), F.expr("doc_id = rep and n_shingles = m and k1 = c1 and k2 = c2"), "left_semi")
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = staged(buckets.join(shared, "bucket"), "buckets")
     weight = met.groupBy("doc_id").agg(F.sum("members").alias("w"))
@@ -104,34 +131,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
         return joined.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
-    links = spark.createDataFrame([], "a long, b long")
-    asked, used, left, turn = None, None, met, 0
-    while True:
-        turn += 1
-        free = left if used is None else left.join(used, ["bucket", "doc_id"], "left_anti")
-        if turn <= STAR_ROUNDS:
-            centre = free.groupBy("bucket").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("neg"))).alias("top")).select("bucket", (-F.col("top.neg")).alias("centre"))
-            pairs = left.join(centre, "bucket").where("doc_id <> centre")
-        else:  # few buckets are left: what no centre has decided, between components only
-            other = free.select("bucket", F.col("doc_id").alias("centre"), F.col("comp").alias("other"))
-            pairs = free.join(other, "bucket").where("doc_id > centre and comp <> other")
-        pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        links = staged(links.unionByName(confirm(pairs)), "links")
-        comps = staged(components(links), "components")
-        if turn > STAR_ROUNDS:
-            break
-        asked = pairs if asked is None else asked.unionByName(pairs)
-        chosen = centre.select("bucket", F.col("centre").alias("doc_id"))
-        used = staged(chosen if used is None else used.unionByName(chosen), "centres")
-        now = met.join(comps, F.col("id") == F.col("doc_id"), "left").select("bucket", "doc_id", "members", "w", F.coalesce("comp", "doc_id").alias("comp"))
-        several = now.where(f"members > {turn + 1}").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        left = staged(now.join(several, "bucket", "left_semi"), "open")
-        if left.isEmpty():
-            break
-    discard(met)
+    centre = met.groupBy("bucket").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("neg"), "n")).alias("top")).select("bucket", (-F.col("top.neg")).alias("centre"), F.col("top.n").alias("m"))
+    alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sets of other sizes cannot link
+    pairs = met.join(centre, "bucket").where("doc_id <> centre").where(alike)
+    pairs = staged(pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "pairs")
+    links = staged(confirm(pairs), "links")
+    comps = staged(components(links), "components")
+
+    # Buckets of several components: members outside a bucket's largest component against all, in tiles.
+    now = met.where("members > 2").join(comps, F.col("id") == F.col("doc_id"), "left").select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    core = now.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("comp", "m").alias("core"), F.sum("m").alias("total"), (F.sum("m") - F.max("m")).alias("rest")).where("rest > 0")
+    parts = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    open_ = now.join(core, "bucket").select("bucket", "doc_id", "comp", (F.col("comp") != F.col("core")).alias("outside"), parts("total").alias("jn"), parts("rest").alias("in"))
+    open_ = staged(open_, "open")
+    if not open_.isEmpty():
+        texts = docs.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        every_one = open_.select("bucket", "doc_id", "comp", every("in").alias("i"), F.pmod(F.xxhash64("doc_id"), "jn").cast("int").alias("j"), F.lit(False).alias("outside"))
+        others = open_.where("outside").select("bucket", "doc_id", "comp", F.pmod(F.xxhash64("doc_id", F.lit(3)), "in").cast("int").alias("i"), every("jn").alias("j"), F.lit(True).alias("outside"))
+        tiles = every_one.unionByName(others).join(texts, "doc_id").select("bucket", "i", "j", "doc_id", "comp", "outside", "text")
+        more = staged(tiles.groupBy("bucket", "i", "j").applyInArrow(_tile(shingle, percent), "a long, b long"), "links")
+        if not more.isEmpty():
+            comps = staged(components(links.unionByName(more)), "components")
     rep = classes.join(comps, F.col("rep") == F.col("id"), "left").select("n_shingles", "k1", "k2", F.coalesce("comp", "rep").alias("component"))
     return (
         sig.join(rep, ["n_shingles", "k1", "k2"], "left")

@@ -167,24 +167,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
-    def mark(x):
-        r = x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    was = mark(e)
-    while was[0]:
+    while not e.isEmpty():
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         x = large.join(low, large.a == low.k)
         small = x.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
         nxt = staged(small.where("a <> b").distinct(), "edges")
-        now = mark(nxt)
         discard(e)
         e = nxt
-        if now == was:
+        # done when every id has one parent and no parent has one: the edges are stars around the smallest ids
+        seen = e.select(F.col("a").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(e.select(F.col("b").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        if seen.groupBy("id").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 or (c > 0 and p > 0)").isEmpty():
             break
-        was = now
     tops = e.select(F.col("b").alias("id")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(tops.select("id", F.col("id").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
