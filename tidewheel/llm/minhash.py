@@ -123,10 +123,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     met = staged(buckets.join(shared, "bucket"), "buckets")
     weight = met.groupBy("doc_id").agg(F.sum("members").alias("w"))
     met = staged(met.join(weight, "doc_id"), "buckets")
+    # The ids grow with the input, so they are merged at every size; the texts of all documents are shuffled here and only here.
+    texts = staged(docs.join(met.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
         return joined.mapInArrow(_confirm(shingle, percent), "a long, b long")
@@ -145,7 +145,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     open_ = now.join(core, "bucket").select("bucket", "doc_id", "comp", (F.col("comp") != F.col("core")).alias("outside"), parts("total").alias("jn"), parts("rest").alias("in"))
     open_ = staged(open_, "open")
     if not open_.isEmpty():
-        texts = docs.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         every_one = open_.select("bucket", "doc_id", "comp", every("in").alias("i"), F.pmod(F.xxhash64("doc_id"), "jn").cast("int").alias("j"), F.lit(False).alias("outside"))
         others = open_.where("outside").select("bucket", "doc_id", "comp", F.pmod(F.xxhash64("doc_id", F.lit(3)), "in").cast("int").alias("i"), every("jn").alias("j"), F.lit(True).alias("outside"))
