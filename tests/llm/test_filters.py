@@ -174,6 +174,18 @@ def test_decontamination(spark):
     assert find_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_conflicting_slots_cut_a_stretch(spark):
+    item = "A train from Paris travels 120 km in 3 hours and then stops at Lyon before it turns back. How fast did Paris see it go?"
+    broken = "A train from Berlin travels 250 km in 5 hours and then stops at Berlin before it turns back. How fast did Munich see it go?"
+    twice = "Every box in the large store holds 3 red balls and each shelf carries 3 boxes, so how many balls are there on one of the shelves?"
+    sums = "Compute 12 + 7 * 3 - 4 / 2 + 8 - 6"
+    chance = "One from Oslo takes 12 and 7 and 3 and 4 in 5"
+    rows = [(1, broken), (2, twice.replace("carries 3", "carries 4")), (3, "So: " + sums), (4, "Compute 1 + 2 * 5 - 9 / 11 + 13 - 15"), (5, chance)]
+    bench = spark.createDataFrame([(10, item), (11, twice), (12, sums)], "item_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.longest) for r in find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: ([10], 22), 2: ([11], 19), 3: ([12], 8), 4: ([], 0), 5: ([], 0)}
+
+
 def test_planted_passages_are_found(spark):
     d = "/root/testdata/sf0.01"
     bench = {r.item_id: r.text.lower().split() for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}

@@ -3,11 +3,12 @@
 Words become template tokens: numbers, names (a capital inside a sentence) and units turn into typed
 placeholders, others into their letters and digits in lower case. WINDOW successive template tokens are
 hashed (a shorter item is one window of its own length) and hash-joined with the benchmark's windows.
-Along each diagonal (document position minus item position) that has hits, the longest stretch of equal
-template tokens is taken; over a stretch every placeholder of the item must map to one value of the
-document, and equal values must stay equal (slot consistency), which finds re-parameterised questions and
-rejects chance alignments. A stretch that covers `share` of an item, or `least` tokens of it, with at least
-`literal` tokens that are no placeholders, contaminates the document.
+Along each diagonal (document position minus item position) that has hits, runs of equal template tokens are
+taken. A stretch is a part of a run in which every placeholder of the item maps to one value of the document
+and equal values stay equal (slot consistency; a run is cut where a slot conflicts) and at least `literal`
+tokens are no placeholders, which finds re-parameterised questions and rejects chance alignments; or a part
+of equal values, whatever its tokens. A stretch that covers `share` of an item, or `least` tokens of it,
+contaminates the document.
 
 The benchmark is dealt in parts of at most MAX_WINDOWS windows, each broadcast and matched in a pass of
 its own, so what is broadcast is bounded whatever the benchmark's size. Documents are never shuffled.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 WINDOW, SHARE, LEAST, LITERAL, MAX_WINDOWS = 8, 0.5, 13, 5, 2_000_000
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+NUMBER, NAME, UNIT = PLACEHOLDERS = "<number>", "<name>", "<unit>"
 #: Units of measure and currency in their common short and long forms.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -67,12 +68,30 @@ def windows(kinds: list[str], size: int):
             yield i, tuple(kinds[i : i + size])
 
 
-def consistent(item: list[str], doc: list[str], kinds: list[str]) -> bool:
-    there, back = {}, {}
-    for a, b, k in zip(item, doc, kinds, strict=True):
-        if k in (NUMBER, NAME, UNIT) and (there.setdefault((k, a), b) != b or back.setdefault((k, b), a) != a):
-            return False
-    return True
+def slot_stretch(item: list[str], doc: list[str], kinds: list[str], literal: int) -> int:
+    """Longest part of a run with consistent slots and at least `literal` tokens that are no placeholders."""
+    there, back, firm = {}, {}, [0]
+    best = start = 0
+    for p, (a, b, k) in enumerate(zip(item, doc, kinds, strict=True)):
+        firm.append(firm[-1] + (k not in PLACEHOLDERS))
+        if k in PLACEHOLDERS:
+            for seen, x, y in ((there, (k, a), b), (back, (k, b), a)):
+                at, was = seen.get(x, (p, y))
+                if was != y:
+                    start = max(start, at + 1)
+                seen[x] = p, y
+        if firm[-1] - firm[start] >= literal:
+            best = max(best, p + 1 - start)
+    return best
+
+
+def equal_stretch(item: list[str], doc: list[str]) -> int:
+    """Longest part of a run whose values are equal."""
+    best = n = 0
+    for a, b in zip(item, doc, strict=True):
+        n = n + 1 if a == b else 0
+        best = max(best, n)
+    return best
 
 
 class Benchmark:
@@ -105,10 +124,9 @@ class Benchmark:
                 if p < len(own) and 0 <= i < len(kinds) and own[p] == kinds[i]:
                     continue
                 if p - start > best:
-                    run = slice(start, p)
-                    firm = sum(x not in (NUMBER, NAME, UNIT) for x in own[run])
-                    if firm >= min(literal, max(1, len(own) // 2)) and consistent(own_values[run], values[start + shift : p + shift], own[run]):
-                        best = p - start
+                    run, there = slice(start, p), values[start + shift : p + shift]
+                    firm = min(literal, max(1, len(own) // 2))
+                    best = max(best, slot_stretch(own_values[run], there, own[run], firm), equal_stretch(own_values[run], there))
                 start = p + 1
             if best and (best >= least or best >= share * len(own)):
                 found[name] = max(found.get(name, 0), best)
