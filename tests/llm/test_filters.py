@@ -186,6 +186,15 @@ def test_conflicting_slots_cut_a_stretch(spark):
     assert got == {1: ([10], 22), 2: ([11], 19), 3: ([12], 8), 4: ([], 0), 5: ([], 0)}
 
 
+def test_copies_in_another_case_are_found(spark):
+    item = "A train from Paris travels 120 km in 3 hours and then stops at Lyon before it turns back. How fast did Paris see it go?"
+    plain = item.replace(".", "").replace("?", "")
+    texts = [item.upper(), item.lower(), item.title(), plain, "HEADLINE: " + plain.upper() + " END", item.title().replace("120", "90"), "Nothing From Paris Or Lyon Is Said In These 3 Hours"]
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = {r.doc_id: r.longest for r in find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {0: 26, 1: 26, 2: 26, 3: 26, 4: 26, 5: 26, 6: 0}
+
+
 def test_planted_passages_are_found(spark):
     d = "/root/testdata/sf0.01"
     bench = {r.item_id: r.text.lower().split() for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}

@@ -2,9 +2,10 @@
 
 Words become template tokens: numbers, names (a capital inside a sentence) and units turn into typed
 placeholders, others into their letters and digits in lower case. WINDOW successive template tokens are
-hashed (a shorter item is one window of its own length) and hash-joined with the benchmark's windows.
-Along each diagonal (document position minus item position) that has hits, runs of equal template tokens are
-taken. A stretch is a part of a run in which every placeholder of the item maps to one value of the document
+hashed (a shorter item is one window of its own length) and hash-joined with the benchmark's windows, once
+with placeholders for names and once with the names' own letters, so copies in another case meet as well.
+Along each diagonal (document position minus item position) that has hits, runs of equal template tokens or
+equal values are taken. A stretch is a part of a run in which every placeholder of the item maps to one value of the document
 and equal values stay equal (slot consistency; a run is cut where a slot conflicts) and at least `literal`
 tokens are no placeholders, which finds re-parameterised questions and rejects chance alignments; or a part
 of equal values, whatever its tokens. A stretch that covers `share` of an item, or `least` tokens of it,
@@ -68,6 +69,11 @@ def windows(kinds: list[str], size: int):
             yield i, tuple(kinds[i : i + size])
 
 
+def folded(kinds: list[str], values: list[str]) -> list[str]:
+    """Template tokens with names as bare words, which no change of case or closing punctuation alters."""
+    return [v if k == NAME else k for k, v in zip(kinds, values, strict=True)]
+
+
 def slot_stretch(item: list[str], doc: list[str], kinds: list[str], literal: int) -> int:
     """Longest part of a run with consistent slots and at least `literal` tokens that are no placeholders."""
     there, back, firm = {}, {}, [0]
@@ -99,29 +105,30 @@ class Benchmark:
         self.size = size
         self.items = [(i, *template(t)) for i, t in rows]
         self.at: dict[tuple, list[tuple[int, int]]] = {}
-        for k, (_, kinds, _) in enumerate(self.items):
-            for p, w in windows(kinds, size):
+        for k, (_, kinds, values) in enumerate(self.items):
+            for w, p in dict.fromkeys((w, p) for form in (kinds, folded(kinds, values)) for p, w in windows(form, size)):
                 self.at.setdefault(w, []).append((k, p))
         self.short = sorted({len(w) for w in self.at if len(w) < size})
 
     def matches(self, text, share, least, literal):
-        """{item_id: longest accepted stretch} and the number of hit windows."""
+        """{item_id: longest accepted stretch}."""
         kinds, values = template(text)
         hits: dict[tuple[int, int], None] = {}
-        count = 0
         at = self.at
+        forms = [kinds, folded(kinds, values)] if NAME in kinds else [kinds]
         for size in [self.size, *self.short]:
-            for i in range(len(kinds) - size + 1):
-                for k, p in at.get(tuple(kinds[i : i + size]), ()):
-                    hits[k, i - p] = None
-                    count += 1
+            for form in forms:
+                for i, w in enumerate(zip(*(form[j:] for j in range(size)))):
+                    if w in at:
+                        for k, p in at[w]:
+                            hits[k, i - p] = None
         found: dict[int, int] = {}
         for k, shift in hits:
             name, own, own_values = self.items[k]
             best = start = 0
             for p in range(len(own) + 1):
                 i = p + shift
-                if p < len(own) and 0 <= i < len(kinds) and own[p] == kinds[i]:
+                if p < len(own) and 0 <= i < len(kinds) and (own[p] == kinds[i] or own_values[p] == values[i]):
                     continue
                 if p - start > best:
                     run, there = slice(start, p), values[start + shift : p + shift]
@@ -130,7 +137,7 @@ class Benchmark:
                 start = p + 1
             if best and (best >= least or best >= share * len(own)):
                 found[name] = max(found.get(name, 0), best)
-        return found, count
+        return found
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, literal: int = LITERAL) -> DataFrame:
@@ -142,7 +149,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     parts, part, n = [], [], 0
     for r in rows.toLocalIterator():
         part.append((r[0], r[1]))
-        n += len(r[1].split())
+        n += 2 * len(r[1].split())  # with and without placeholders for names
         if n >= MAX_WINDOWS:
             parts.append(part)
             part, n = [], 0
@@ -157,7 +164,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             for batch in batches:
                 ids, longest = [], []
                 for text, before, most in zip(batch.column(at).to_pylist(), batch.column(last - 1).to_pylist(), batch.column(last).to_pylist(), strict=True):
-                    found, _ = own.matches(text, share, least, literal) if own.items else ({}, 0)
+                    found = own.matches(text, share, least, literal) if own.items else {}
                     ids.append(sorted({*before, *found}))
                     longest.append(max([most, *found.values()]))
                 out = [*batch.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(longest, pa.int64())]
