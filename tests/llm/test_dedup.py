@@ -67,6 +67,17 @@ def test_documents_equal_brute_force(spark, k, percent):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("turn", [False, True])
+def test_texts_that_share_an_id_keep_their_own_links(spark, turn):
+    r = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    a, b, c = (" ".join(r.choice(vocabulary, 90)) for _ in range(3))
+    both = [(5, a + " x"), (5, b + " y")]
+    rows = [(1, a), (2, b), (3, c), *(both[::-1] if turn else both), (6, b + " z")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in got) == [(1, 1, True), (2, 2, True), (3, 3, True), (5, 1, False), (5, 2, False), (6, 2, False)]
+
+
 def test_empty_tables(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

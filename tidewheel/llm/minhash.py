@@ -10,7 +10,8 @@ the largest of them are compared with all its members, on whole sets, in tiles o
 documents that write out one link for each component met; so a bucket loses no link and writes no pairs.
 
 Null or wordless texts have an empty set and link with nothing. Rows that repeat a doc_id are kept,
-one result each. Extra columns of the input are ignored.
+one result each: the members compared are nodes, pairs of a doc_id and the hash of its text, so each text of
+a doc_id has its own links. A null doc_id links only with identical sets. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .shared import components, mix, shingle_sets, small_batches, staged
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 80, 160, 5
 TILE = 512
+NODE = ("doc_id", "text_hash")
+_LINK = "a struct<doc_id: long, text_hash: long>, b struct<doc_id: long, text_hash: long>"
 
 
 def densify_table(bins: int, tries: int = 512) -> np.ndarray:
@@ -53,7 +56,7 @@ def _signatures(k: int, bins: int, rows: int):
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             n, k1, k2, keys = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column(2), k):
                 n.append(len(s))
                 if not len(s):
                     k1.append(0), k2.append(0), keys.append([])
@@ -65,8 +68,8 @@ def _signatures(k: int, bins: int, rows: int):
                 for j in range(rows):
                     h = mix(h * np.uint64(3) + g[:, j])
                 keys.append(h.view(np.int64))
-            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+            out = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands"])
 
     return run
 
@@ -88,7 +91,8 @@ def _tile(k: int, percent: int):
     """Links between the members outside the largest component and all members of a tile, one for each component met."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, outside = (table[c].to_numpy() for c in ("doc_id", "comp", "outside"))
+        outside, places = table["outside"].to_numpy(), {}
+        comp = np.array([places.setdefault(tuple(c.values()), len(places)) for c in table["comp"].to_pylist()], np.int64)
         sets = list(shingle_sets(table["text"], k))
         there, asking = np.flatnonzero(~outside), np.flatnonzero(outside)
         sizes = np.array([len(sets[i]) for i in there], np.int64)
@@ -104,57 +108,69 @@ def _tile(k: int, percent: int):
                 both = np.bincount(owner[at], minlength=len(there))
                 ok = np.flatnonzero((both > 0) & (100 * both >= percent * (len(sets[x]) + sizes - both)) & (comp[there] != comp[x]))
                 for i in ok[np.unique(comp[there[ok]], return_index=True)[1]]:
-                    out.append((int(ids[x]), int(ids[there[i]])))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+                    out.append((x, there[i]))
+        return pa.table([table["node"].take(pa.array([p[j] for p in out], pa.int64())) for j in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def text_hash(text: str = "text"):
+    return F.xxhash64(F.col(text).cast("string")).alias("text_hash")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
+    return marked(docs, shingle, percent, bins, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def marked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates with text_hash and first, which holds for one (doc_id, text_hash) of each component."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = staged(docs.mapInArrow(_signatures(shingle, bins, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = sig.join(classes.select("rep", F.col("n_shingles").alias("m"), F.col("k1").alias("c1"), F.col("k2").alias("c2")), F.expr("doc_id = rep and n_shingles = m and k1 = c1 and k2 = c2"), "left_semi")
-    buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    node = F.struct(*NODE)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
+    sig = staged(docs.mapInArrow(_signatures(shingle, bins, rows), "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *NODE))  # a null doc_id only where there is no other
+    classes = sig.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(lowest.alias("low"))
+    classes = classes.select("n_shingles", "k1", "k2", F.struct(*[F.col(f"low.{c}").alias(c) for c in NODE]).alias("rep"))
+    reps = sig.where("n_shingles > 0").join(classes.select("rep.*"), [*NODE], "left_semi")
+    buckets = reps.select(*NODE, F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = staged(buckets.join(shared, "bucket"), "buckets")
-    weight = met.groupBy("doc_id").agg(F.sum("members").alias("w"))
-    met = staged(met.join(weight, "doc_id"), "buckets")
-    # The ids grow with the input, so they are merged at every size; the texts of all documents are shuffled here and only here.
-    texts = staged(docs.join(met.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    weight = met.groupBy(*NODE).agg(F.sum("members").alias("w"))
+    met = staged(met.join(weight, [*NODE]), "buckets")
+    # The nodes grow with the input, so they are merged at every size; the texts of all documents are shuffled here and only here.
+    texts = docs.join(met.select(*NODE).distinct().hint("merge"), [*NODE], "left_semi").dropDuplicates([*NODE])
+    texts = staged(texts.select(node.alias("node"), "text"), "texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-        return joined.mapInArrow(_confirm(shingle, percent), "a long, b long")
+        return joined.mapInArrow(_confirm(shingle, percent), _LINK)
 
-    centre = met.groupBy("bucket").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("neg"), "n")).alias("top")).select("bucket", (-F.col("top.neg")).alias("centre"), F.col("top.n").alias("m"))
+    top = F.max(F.struct("w", (-F.col("doc_id")).alias("neg"), "text_hash", "n")).alias("top")
+    centre = met.groupBy("bucket").agg(top).select("bucket", F.struct((-F.col("top.neg")).alias("doc_id"), F.col("top.text_hash").alias("text_hash")).alias("centre"), F.col("top.n").alias("m"))
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sets of other sizes cannot link
-    pairs = met.join(centre, "bucket").where("doc_id <> centre").where(alike)
-    pairs = staged(pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "pairs")
+    pairs = met.join(centre, "bucket").where(node != F.col("centre")).where(alike)
+    pairs = staged(pairs.select(F.least(node, "centre").alias("a"), F.greatest(node, "centre").alias("b")).distinct(), "pairs")
     links = staged(confirm(pairs), "links")
     comps = staged(components(links), "components")
 
     # Buckets of several components: members outside a bucket's largest component against all, in tiles.
-    now = met.where("members > 2").join(comps, F.col("id") == F.col("doc_id"), "left").select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    now = met.where("members > 2").withColumn("node", node).join(comps, F.col("id") == F.col("node"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     core = now.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("comp", "m").alias("core"), F.sum("m").alias("total"), (F.sum("m") - F.max("m")).alias("rest")).where("rest > 0")
     parts = lambda c: F.ceil(F.col(c) / TILE).cast("int")
-    open_ = now.join(core, "bucket").select("bucket", "doc_id", "comp", (F.col("comp") != F.col("core")).alias("outside"), parts("total").alias("jn"), parts("rest").alias("in"))
+    open_ = now.join(core, "bucket").select("bucket", "node", "comp", (F.col("comp") != F.col("core")).alias("outside"), parts("total").alias("jn"), parts("rest").alias("in"))
     open_ = staged(open_, "open")
     if not open_.isEmpty():
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        every_one = open_.select("bucket", "doc_id", "comp", every("in").alias("i"), F.pmod(F.xxhash64("doc_id"), "jn").cast("int").alias("j"), F.lit(False).alias("outside"))
-        others = open_.where("outside").select("bucket", "doc_id", "comp", F.pmod(F.xxhash64("doc_id", F.lit(3)), "in").cast("int").alias("i"), every("jn").alias("j"), F.lit(True).alias("outside"))
-        tiles = every_one.unionByName(others).join(texts, "doc_id").select("bucket", "i", "j", "doc_id", "comp", "outside", "text")
-        more = staged(tiles.groupBy("bucket", "i", "j").applyInArrow(_tile(shingle, percent), "a long, b long"), "links")
+        every_one = open_.select("bucket", "node", "comp", every("in").alias("i"), F.pmod(F.xxhash64("node"), "jn").cast("int").alias("j"), F.lit(False).alias("outside"))
+        others = open_.where("outside").select("bucket", "node", "comp", F.pmod(F.xxhash64("node", F.lit(3)), "in").cast("int").alias("i"), every("jn").alias("j"), F.lit(True).alias("outside"))
+        tiles = every_one.unionByName(others).join(texts, "node").select("bucket", "i", "j", "node", "comp", "outside", "text")
+        more = staged(tiles.groupBy("bucket", "i", "j").applyInArrow(_tile(shingle, percent), _LINK), "links")
         if not more.isEmpty():
             comps = staged(components(links.unionByName(more)), "components")
     rep = classes.join(comps, F.col("rep") == F.col("id"), "left").select("n_shingles", "k1", "k2", F.coalesce("comp", "rep").alias("component"))
-    return (
-        sig.join(rep, ["n_shingles", "k1", "k2"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    out = sig.join(rep, ["n_shingles", "k1", "k2"], "left").select(*NODE, "n_shingles", F.coalesce("component", node).alias("component"))
+    out = out.withColumns({"component_id": F.col("component.doc_id"), "first": node.eqNullSafe(F.col("component"))}).drop("component")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
