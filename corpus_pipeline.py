@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import quality
 from tidewheel.llm.decontaminate import find_contamination
-from tidewheel.llm.minhash import near_duplicates
+from tidewheel.llm.minhash import marked, text_hash
 from tidewheel.llm.mixing import mix_sources
 from tidewheel.llm.shared import staged
 from tidewheel.llm.token_files import tokenise
@@ -22,9 +22,14 @@ def keep_quality(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8)."""
-    kept = near_duplicates(docs).where("kept or doc_id is null").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8).
+
+    Texts that share a doc_id are judged each for itself; rows that repeat doc_id and text count as one. A
+    document without a doc_id goes only where another has the same set of shingles.
+    """
+    kept = marked(docs).where("first").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    one = docs.withColumn("text_hash", text_hash()).dropDuplicates(["doc_id", "text_hash"])
+    return one.join(kept, F.expr("doc_id <=> id and text_hash = hash"), "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark, docs, sf_dir):
@@ -35,10 +40,11 @@ def drop_contaminated(spark, docs, sf_dir):
 
 def mix(spark, docs, sf_dir):
     """Each document as often as the mix takes it; a fraction of a copy is drawn by the document's hash."""
-    taken = mix_sources(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("share"))
-    drawn = F.floor(F.col("share") + F.xxhash64("doc_id", F.lit(29)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
-    copies = taken.select("doc_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), drawn).cast("int"))).alias("copy"), drawn.alias("n")).where("n > 0")
-    return docs.join(copies.select("doc_id"), "doc_id").select(*docs.columns)
+    keyed = docs.withColumn("key", F.struct("doc_id", F.xxhash64(*docs.columns).alias("row")))  # rows of one key are the same
+    taken = mix_sources(keyed.select(F.col("key").alias("doc_id"), "text", "source")).where("taken > 0").select(F.col("doc_id").alias("key"), (F.col("taken") / F.col("size")).alias("share"))
+    drawn = F.floor(F.col("share") + F.xxhash64("key", F.lit(29)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
+    copies = taken.groupBy("key").agg(F.sum(drawn).cast("int").alias("n")).where("n > 0").select("key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    return keyed.dropDuplicates(["key"]).join(copies.select("key"), "key").select(*docs.columns)
 
 
 def write_token_files(spark, docs, sf_dir, path=None):

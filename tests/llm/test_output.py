@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.llm import mixing, token_files
 
@@ -96,6 +97,33 @@ def test_tokens_equal_the_library(spark):
     assert token_files.tokenise(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
 
 
+def test_stages_keep_null_and_repeated_ids(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    text = lambda n=60: " ".join(r.choice([f"w{i}" for i in range(500)], n))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (7, c, "s"), (7, d, "t"), (7, d, "t"), (8, d + " more", "t"), (3, a.upper(), "s"), (9, e, None), (None, None, "s"), (None, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, None)
+    want = [(None, b, "s"), (7, c, "s"), (7, d, "t"), (3, a.upper(), "s"), (9, e, None), (None, None, "s"), (None, "", "s")]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+
+    share = {x: n for n, x in enumerate((b, c, d, e), 1)}
+
+    def fixed(frame):
+        size = F.regexp_count("text", F.lit(mixing.WORD)).cast("long")
+        n = F.coalesce(*[F.when(F.col("text") == x, F.lit(k)) for x, k in share.items()], F.lit(0))
+        return frame.select("doc_id", "source", size.alias("size"), (size * n).alias("taken"))
+
+    monkeypatch.setattr(corpus_pipeline, "mix_sources", fixed)
+    for limit in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = sorted(map(tuple, corpus_pipeline.mix(spark, docs, None).collect()), key=str)
+        assert got == sorted([x for x in rows for _ in range(share.get(x[1], 0))], key=str)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tidewheel.llm.decontaminate import find_contamination
