@@ -13,7 +13,7 @@ from tidewheel.llm import language, quality, queries_filter
 from tidewheel.llm.automaton import Automaton
 from tidewheel.llm.boost import fit
 from tidewheel.llm.decontaminate import find_contamination
-from tidewheel.llm.personal import find_personal
+from tidewheel.llm.personal import ADDED, BASE, find_personal, find_spans, train
 from tidewheel.llm.secrets import RULES, find_secrets, text_spans
 from tidewheel.llm.url_filter import judge_urls
 
@@ -161,6 +161,22 @@ def test_personal_equals_brute_force(spark):
     assert find_personal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_loose_forms_are_found():
+    model, limits = train()
+    forms = {
+        "loose_card": ["4111.1111.1111.1111", "5500  0055  5555  5559", "3782 - 822463 - 10005"],
+        "loose_email": ["jane.doe [at] example [dot] org", "jane(at)mail.example.org", "jane at example dot com", "jane @ example.org"],
+        "national_phone": ["020 7946 0958", "01 23 45 67 89", "030 12345678", "0161 496 0123", "612 34 56 78", "415-555-2671"],
+    }
+    for kind, spans in forms.items():
+        for x in spans:
+            text = f"please contact or call us at once: {x} or write"
+            a = text.index(x)
+            assert (a, len(BASE) + ADDED.index(kind), a + len(x)) in find_spans(text, model, limits), x
+    for x in ("4111.1111.1111.1112", "look at the dot there", "years 2010  2011  2012  2014 in turn", "on 01-02-2023 14 of them", "pi is 3.14159 and 2.71828"):
+        assert find_spans(f"then the report of {x} was read", model, limits) == [], x
+
+
 def test_decontamination(spark):
     item = "A train from Paris travels 120 km in 3 hours and then stops at Lyon before it turns back. How fast did Paris see it go?"
     changed = "Once more. A train from Berlin travels 250 km in 5 hours and then stops at Munich before it turns back. How fast did Berlin see it go? Yes."
