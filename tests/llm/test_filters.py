@@ -221,3 +221,42 @@ def test_planted_passages_are_found(spark):
         want |= {(r.doc_id, i) for i, w in bench.items() if " ".join(w) in text}
     got = {(r.doc_id, i) for r in find_contamination(docs, spark.read.parquet(f"{d}/benchmark.parquet")).collect() for i in r.item_ids}
     assert want and want <= got
+
+
+def test_letters_are_unicode_letters():
+    assert language.words("½ ² Ⅷ ① x1y É ʰ ª 中文") == {"x": 1, "y": 1, "é": 1, "ʰ": 1, "ª": 1, "中文": 1}
+    pieces = ["▁", "a", "b", "▁ab"]
+    p = np.random.default_rng(1).random((len(pieces), 2))
+    lattice = language.Lattice(pieces)
+    logs = np.log(lattice.table(p))
+
+    def slow(w):  # plain sums of logarithms
+        a = [np.zeros(2)]
+        for e in range(1, len(w) + 1):
+            parts = [a[e - n] + logs[pieces.index(w[e - n : e])] for n in (1, 2, 3) if e >= n and w[e - n : e] in pieces]
+            a.append(np.logaddexp.reduce(parts) if parts else a[-1] + logs[len(pieces)])
+        return a[-1]
+
+    words = ["ab" * 4, "ab" * 20 + "a", "ab" * 3000, "zz" * 100]
+    assert np.allclose(lattice.score(words, lattice.table(p)), [slow("▁" + w) for w in words])
+
+
+def test_language_training_is_bounded_and_takes_every_language(spark):
+    rows = [(i, "hello world of words", "en") for i in range(3000)] + [(i, "bonjour le monde", "fr") for i in range(5000, 5012)] + [(1, "hello world of words", "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = language.train(docs, ["▁", "▁hello", "▁bonjour"], sample=40)
+    assert langs == ["en", "fr"]
+    long = spark.createDataFrame([(1, "hello " + "x" * 20_000 + " hello"), (1, "bonjour"), (1, "bonjour")], "doc_id long, text string")
+    got = sorted(r.lang_pred for r in language.identify(long, langs, table, ["▁", "▁hello", "▁bonjour"]).collect())
+    assert got == ["en", "fr", "fr"]
+    assert language.identify(long.limit(0), langs, table, ["▁"]).count() == 0
+
+
+def test_quality_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: sizes.append(len(x)) or fit(x, y))
+    docs = spark.range(5000).selectExpr("id % 3 + 1 as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)], "doc_id long, quality int")
+    quality.train(docs, labels, sample=2)
+    assert sizes == [2]
+    assert quality.score_quality(docs.limit(0), fit(np.zeros((0, 5)), np.zeros(0))).count() == 0

@@ -147,3 +147,21 @@ def test_pipeline(spark):
     assert third == second - {r.doc_id for r in find_contamination(chosen, spark.read.parquet(f"{d}/benchmark.parquet")).where("contaminated").collect()}
     rows = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in rows} == fourth and sorted(r.start for r in rows)[0] == 0
+
+
+def test_the_query_takes_the_librarys_own_treatment_of_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidewheel.llm.queries_mix import op10_token_bit_planes
+
+    rows = [(None, "null id"), (2, "a <|endoftext|> b"), (1, "<|endoftext|>"), (3, "plain words here"), (4, "x<|endoftext|><|endoftext|> y  z"), *[(7, f"same id {i}") for i in range(5)]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tok = Tokenizer.from_file(TOKENIZER)
+    want = {}
+    for i, t in rows:
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.setdefault(i, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    got = {}
+    for r in sorted(op10_token_bit_planes(spark, str(tmp_path)).collect(), key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    assert list(got) == [None, 1, 2, 3, 4, 7] and {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}

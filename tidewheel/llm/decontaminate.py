@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import bounded
 
 WINDOW, SHARE, LEAST, LITERAL, MAX_WINDOWS = 8, 0.5, 13, 5, 2_000_000
 NUMBER, NAME, UNIT = PLACEHOLDERS = "<number>", "<name>", "<unit>"
@@ -143,7 +143,6 @@ class Benchmark:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, literal: int = LITERAL) -> DataFrame:
     """docs with contaminated, item_ids (ascending) and longest (tokens of the longest stretch)."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("contaminated", "item_ids", "longest")
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null").orderBy("item_id")
     parts, part, n = [], [], 0

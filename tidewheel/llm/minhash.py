@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, mix, shingle_sets, small_batches, staged
+from .shared import components, mix, shingle_sets, staged
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 80, 160, 5
 TILE = 512
@@ -126,7 +126,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def marked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """near_duplicates with text_hash and first, which holds for one (doc_id, text_hash) of each component."""
     spark = docs.sparkSession
-    small_batches(spark)
     node = F.struct(*NODE)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
     sig = staged(docs.mapInArrow(_signatures(shingle, bins, rows), "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .boost import Boosted, fit
 from .secrets import span_columns
-from .shared import small_batches
+from .shared import bounded
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("national_phone", "ssn", "iban", "loose_card", "loose_email")
@@ -226,7 +226,6 @@ def find_spans(text: str, model: Boosted, limits: dict[str, float]):
 def find_personal(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(train())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

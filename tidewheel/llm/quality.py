@@ -1,8 +1,13 @@
 """Document quality by boosted trees over document statistics.
 
 The model is fitted on at most SAMPLE labelled rows outside the held-out fold, those of the smallest hash
-of doc_id; every whole text is scored. Null and empty texts have all statistics 0 and get the model's
-score for them. Rows that repeat a doc_id are scored alike; extra columns are ignored.
+of doc_id; every whole text is scored. A document with several labels counts as good if one of them says so.
+
+Null and empty texts have all statistics 0 and get the model's score for them. Texts of any length are
+scored whole. Rows that repeat a doc_id or a text are scored each by its own text, and count each towards
+SAMPLE. Without labelled rows, or with labels of one class only, every text gets the smoothed share of good
+labels (0.5 without any). An empty table gives no rows. A column `score` of the input is replaced; other
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import Boosted, fit
-from .shared import Words, chunks, crc_mod5, mix, small_batches
+from .shared import Words, bounded, chunks, crc_mod5, mix
 
 SAMPLE, STATISTICS = 20_000, 22
 LIMIT = 0.3
@@ -83,35 +88,33 @@ def _distinct(doc, values, n):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, target: str = "quality") -> Boosted:
-    """A model of labels.<target>; the sample's statistics (at most `sample` rows of STATISTICS numbers) come to the driver."""
+    """A model of labels.<target>; the statistics of at most `sample` rows (STATISTICS numbers each) come to the driver."""
     labels = labels.select(F.col("doc_id").alias("doc_id"), F.col(target).alias("y")).where("y in (0, 1) and doc_id is not null").where(crc_mod5(F.col("doc_id")) != 0)
     labels = labels.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(labels), "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y"))
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             x = statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, y double, x array<double>").toArrow()
+    ids = dict(rows.dtypes)["doc_id"]
+    found = rows.mapInArrow(run, f"doc_id {ids}, y double, x array<double>")
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).toArrow()  # ids may repeat: rows are bounded here
     if not got.num_rows:
         return fit(np.zeros((0, STATISTICS)), np.zeros(0))
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
-    y, ids = got["y"].to_numpy(), got["doc_id"].to_numpy()
-    order = np.lexsort((x[:, 0], ids))
-    return fit(x[order], y[order])
+    return fit(x, got["y"].to_numpy())
 
 
 def score_quality(docs: DataFrame, model: Boosted) -> DataFrame:
     """docs with a column score."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score")
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, at):
             s = held.value.score(statistics(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "score"])
 

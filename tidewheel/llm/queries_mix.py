@@ -21,7 +21,7 @@ def op7_template_decontamination(spark, sf_dir):
 
 def op10_token_bit_planes(spark, sf_dir, path=None):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return tokenise(docs, path or public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenise(docs, path or public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def pipeline(spark, sf_dir):

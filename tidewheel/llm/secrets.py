@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .shared import chunks, small_batches
+from .shared import chunks
 
 
 def _either_case(word: str) -> str:
@@ -97,7 +97,6 @@ def span_columns(names: list[str], base: int, spans_of):
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run = span_columns([r[0] for r in RULES], len(BASE), text_spans)
     return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, ROWS = 1 << 20, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    conf = conf or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="tidewheel-shared-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local master may do without
+    the setting: driver and tasks are then one process, and a folder of this process serves."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tidewheel-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,9 +54,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def bounded(batches, at: int):
+    """Arrow batches in slices of about CHUNK_BYTES * 4 of text (column `at`) or ROWS rows, whole rows each; nothing is copied."""
+    for batch in batches:
+        _, offsets = buffers(batch.column(at))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(offsets, offsets[lo] + 4 * CHUNK_BYTES, side="right")) - 1
+            hi = min(max(hi, lo + 1), lo + ROWS, batch.num_rows)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def crc_mod5(col) -> F.col:

@@ -12,8 +12,11 @@ its id and number of ids; documents may span chunks. Files are written under a n
 renamed at the end, so a lost executor or a second attempt leaves no broken file. All paths go through
 pyarrow's file systems; the folder must be one that driver and executors share.
 
-Null and empty texts are the end id alone. Repeated doc_ids are documents of their own, in order of their
-text. A null doc_id sorts first. Extra columns are ignored.
+Null and empty texts are the end id alone; texts of any length are written whole and may span chunks.
+Repeated doc_ids are documents of their own, in order of a hash of their text; repeated rows are written each. A null
+doc_id sorts first. An empty table writes no file and gives no rows. Extra columns are ignored, whatever
+their names. The vocabulary's added tokens (an end mark, say): with `added_tokens`, as is the library's
+default, their strings in a text become their ids; without it they are ordinary text.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches, staged
+from .shared import bounded, new_path, staged
 
 MAGIC, CHUNK, END_ID = b"TWBP1\n", 1 << 16, 2
-KNOWN_PIECES = 1_000_000
+KNOWN_BYTES, SHARD_BYTES = 64 << 20, 128 << 20
 
 
 def encode_chunk(ids: np.ndarray) -> tuple[bytes, list[int]]:
@@ -125,14 +128,16 @@ class Encoder:
     follows, so a cut there changes nothing; a text in which a blank touches other white space is encoded whole.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(source)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added_tokens else []
         self.known: dict[str, bytes] = {}  # ids of a piece with a blank before it
         self.first: dict[str, bytes] = {}  # ids of a text's first piece
+        self.held = 0  # bytes in both
         vocab = self.tok.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id; a byte is a character in the vocabulary
         for token, i in vocab.items():
@@ -149,14 +154,14 @@ class Encoder:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_PIECES:
-            self.known, self.first = {}, {}
+        if self.held > KNOWN_BYTES:
+            self.known, self.first, self.held = {}, {}, 0
         cut: list[list[str] | None] = []
         firsts, new = set(), set()
         for t in texts:
             pieces = t.split(" ")
             fresh = set(pieces[1:]).difference(self.known)
-            if len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()) or any(not x or x[0].isspace() or x[-1].isspace() for x in fresh):
+            if any(a in t for a in self.added) or len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()) or any(not x or x[0].isspace() or x[-1].isspace() for x in fresh):
                 cut.append(None)
             else:
                 firsts.add(pieces[0])
@@ -168,14 +173,15 @@ class Encoder:
         for lo in range(0, len(rest), 512):
             part = rest[lo : lo + 512]
             self.known.update(zip(part, self._joined(part), strict=True))
+        self.held += sum(4 * len(p) + len(self.first[p]) + 200 for p in firsts) + sum(4 * len(p) + len(self.known[p]) + 200 for p in rest)
         whole = iter(self._library([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
         get = self.known.__getitem__
         return [next(whole) if pieces is None else self.first[pieces[0]] + b"".join(map(get, pieces[1:])) for pieces in cut]
 
 
 @lru_cache(maxsize=2)
-def encoder(source: str) -> Encoder:
-    return Encoder(source)
+def encoder(source: str, added_tokens: bool) -> Encoder:
+    return Encoder(source, added_tokens)
 
 
 def _file_system(path: str):
@@ -184,15 +190,17 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
     """Writes docs(doc_id, text) to `folder`; returns (shard, file, first doc_id, docs, tokens) of each file."""
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES) if size < 1 << 60 else 1)  # beyond that Spark does not know the size
+    # by id, then by text, then by place: an id that repeats in many rows is cut as well, and equal rows may lie in any order
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
+    ordered = docs.withColumns({"h": order[1], "at": order[2]}).repartitionByRange(shards, order[0], "h", "at").sortWithinPartitions(order[0], "h", "at").select("doc_id", "text")
 
     def run(batches):
         tok = writer = None
@@ -200,9 +208,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         shard = TaskContext.get().partitionId()
         trial = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
         tokens = 0
-        for batch in batches:
+        for batch in bounded(batches, 1):
             if writer is None:
-                tok = encoder(held.value)
+                tok = encoder(held.value, added_tokens)
                 fs.create_dir(root)
                 sink = fs.open_output_stream(trial)
                 writer = ShardWriter(sink)
@@ -249,7 +257,7 @@ def _table(rows):
     return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def tokenise(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, folder: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Write the files, read them back, and say what each document got."""
     folder = folder or new_path(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, folder, tokenizer), folder)
+    return read_tokens(write_tokens(docs, folder, tokenizer, added_tokens=added_tokens), folder)
