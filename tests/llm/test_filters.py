@@ -260,3 +260,43 @@ def test_quality_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
     quality.train(docs, labels, sample=2)
     assert sizes == [2]
     assert quality.score_quality(docs.limit(0), fit(np.zeros((0, 5)), np.zeros(0))).count() == 0
+
+
+def test_all_secret_rules_equal_expressions_on_random_texts(monkeypatch):
+    from tidewheel.llm import automaton, secrets
+
+    r = np.random.default_rng(11)
+    parts = ["token", "api_key", "PassWord", "=", ":", " ", "  ", '"', "'", "abcdefghijklmnop", "0123456789abcdef", "dead", "AKIA", "ABCDEFGH12345678", "gh", "p_", "a1B2" * 10, "xoxb-", "-----", "BEGIN ", "PRIVATE KEY", "RSA ", "eyJ", "abc.def", ".", "é", "ſ", "\n", "x"]
+    texts = ["".join(r.choice(parts, int(r.integers(0, 40)))) for _ in range(1500)] + ["token=" * 300, "-----BEGIN " * 40 + "PRIVATE KEY-----", "a" * 3000 + "G" + "b" * 20]
+    rules = [(e.replace("{16,}", "+") if k == "hex" else e, head, least) for k, e, least, head in secrets.RULES]
+
+    def brute(t):
+        out = []
+        for k, (e, head, least) in enumerate(rules):
+            for m in re.finditer(e, t):
+                value = m.end() - (re.match(head, t[m.start() :]).end() + m.start() if head else m.start())
+                if value >= least:
+                    out.append((m.start(), k, m.end()))
+        return sorted(out)
+
+    want = [brute(t) for t in texts]
+    assert {k for x in want for _, k, _ in x} == set(range(len(rules)))
+    for lane in (512, 7):
+        monkeypatch.setattr(automaton, "LANE", lane)
+        assert list(text_spans(pa.array(texts))) == want
+
+
+def test_long_lines_take_little_time():
+    import time
+
+    from tidewheel.llm.personal import find_spans, train
+
+    model, limits = train()
+    for piece in ("abc deadbeef ", "token=", "+", "(", "a@", "1.", "0 ", "[at] ", "12 "):
+        line = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        list(text_spans(pa.array([line])))
+        assert time.process_time() - began < 4
+        began = time.process_time()
+        find_spans(line, model, limits)
+        assert time.process_time() - began < 8, piece

@@ -2,19 +2,27 @@
 
 Supports literals, \\xHH and escaped characters, classes, groups, `|`, `*`, `+`, `?` and {m}, {m,}, {m,n}.
 All rules run in one pass: the start state is part of every subset, so a state knows every rule that may
-end at the byte just read. Texts are cut at bytes that lead every state back to the start, and all pieces
-step through the transition array side by side.
+end at the byte just read. `backwards` compiles the rules' mirror images, whose ends, read from the right,
+are the places where a match of a rule starts; `anchored` automata match from one place on and give the end.
+
+A pass cuts the bytes into lanes of LANE bytes that step through the transition array side by side. A lane
+in the middle of a text guesses that it begins in the start state. Where the lane before ends in another
+state, the lane is run again from that one until it meets the states that it had, so the result is that of
+one run over the whole text and no step is as long as a text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+LANE = 512
+
 
 class _Parser:
     """Thompson construction: `moves` are (state, byte set, state), `free` empty moves."""
 
-    def __init__(self):
+    def __init__(self, backwards: bool = False):
+        self.backwards = backwards
         self.moves: list[list[tuple[frozenset, int]]] = []
         self.free: list[list[int]] = []
 
@@ -106,7 +114,7 @@ class _Parser:
             self.moves[at].append((node[1], end))
             return end
         if kind == "then":
-            for x in node[1]:
+            for x in reversed(node[1]) if self.backwards else node[1]:
                 at = self.lay(x, at)
             return at
         if kind == "or":
@@ -133,10 +141,14 @@ class _Parser:
 
 
 class Automaton:
-    """`step[state * classes + kind[byte]]` is the next state, `accept[state]` a bit set of rules that end there."""
+    """`step[state * classes + kind[byte]]` is the next state, `accept[state]` a bit set of rules that end there.
+
+    An anchored automaton has a state `dead` that nothing leaves.
+    """
 
-    def __init__(self, rules: list[str]):
-        nfa = _Parser()
+    def __init__(self, rules: list[str], backwards: bool = False, anchored: bool = False):
+        self.backwards = backwards
+        nfa = _Parser(backwards)
         ends = [nfa.rule(r) for r in rules]
 
         def closure(states):
@@ -149,6 +161,7 @@ class Automaton:
             return frozenset(seen)
 
         start = closure(s for s, _ in ends)
+        again = frozenset() if anchored else start
         sets = {s for m in nfa.moves for s, _ in m}
         marks = {b: tuple(b in s for s in sets) for b in range(256)}
         names = {m: i for i, m in enumerate(dict.fromkeys(marks.values()))}
@@ -158,7 +171,7 @@ class Automaton:
         for subset in order:
             row = []
             for b in sample:
-                nxt = closure({t for s in subset for m, t in nfa.moves[s] if b in m}) | start
+                nxt = closure({t for s in subset for m, t in nfa.moves[s] if b in m}) | again
                 if nxt not in known:
                     known[nxt] = len(order)
                     order.append(nxt)
@@ -176,36 +189,70 @@ class Automaton:
         self.start, self.classes = int(group[0]), len(sample)
         small = group[step[head]]
         self.accept = accept[head]
-        back = (small == self.start).all(axis=0)
-        self.resets = back[self.kind]
         self.step = small.astype(np.int32).ravel()
+        stay = np.flatnonzero((small == np.arange(len(small))[:, None]).all(axis=1) & (self.accept == 0))
+        self.dead = int(stay[0]) if anchored and len(stay) else -1
+        self.rows = [r.tolist() for r in small[:, self.kind]] if anchored else []
 
-    def scan(self, data: np.ndarray, offsets: np.ndarray):
-        """(begin, end, rules) of the pieces between reset bytes in which some rule ends; pieces don't cross texts."""
+    def states(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The state after each byte of a run over each text, from the left or, backwards, from the right."""
+        n = len(data)
+        if self.backwards:
+            return self._run(data[::-1], n - offsets[::-1])[::-1]
+        return self._run(data, offsets)
+
+    def _run(self, data, offsets):
         n = len(data)
         if not n:
-            return np.zeros((0, 3), np.int64)
-        solid = ~self.resets[data]
-        begin, end = solid.copy(), solid.copy()
-        at = offsets[:-1][offsets[:-1] < n]
-        begin[1:] &= ~solid[:-1]
-        begin[at] = solid[at]
-        end[:-1] &= ~solid[1:]
-        cut = at[at > 0] - 1
-        end[cut] = solid[cut]
-        a, z = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        order = np.argsort(a - z, kind="stable")  # longest first: those still running are a prefix
-        a, z = a[order], z[order]
-        size = z - a
+            return np.zeros(0, np.int32)
+        low, high = offsets[:-1], offsets[1:]
+        lanes = -(-(high - low) // LANE)
+        first = np.cumsum(lanes) - lanes  # number of each text's first lane
+        own = np.repeat(np.arange(len(low)), lanes)
+        nth = np.arange(len(own)) - first[own]
+        a = low[own] + nth * LANE
+        size = np.minimum(high[own] - a, LANE)
         kind = self.kind[data].astype(np.int32)
-        state = np.full(len(a), self.start, np.int32)
-        hit = np.zeros(len(a), np.int64)
-        running = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
+        out = np.empty(n, np.int32)
+        order = np.argsort(-size, kind="stable")  # longest first: those still running are a prefix
+        where, state = a[order], np.full(len(a), self.start, np.int32)
+        running = np.searchsorted(-size[order], -np.arange(int(size.max())), side="left")
         for i, m in enumerate(running):
-            state[:m] = self.step[state[:m] * self.classes + kind[a[:m] + i]]
-            got = self.accept[state[:m]]
-            if got.any():
-                hit[:m] |= got
-        found = np.flatnonzero(hit)
-        found = found[np.argsort(a[found])]
-        return np.stack([a[found], z[found], hit[found]], axis=1)
+            at = where[:m] + i
+            state[:m] = self.step[state[:m] * self.classes + kind[at]]
+            out[at] = state[:m]
+        # lanes whose guess was wrong, until none is left; only they and what they change are run again
+        lane = np.flatnonzero(nth > 0)
+        lane = lane[out[a[lane] - 1] != self.start]
+        while len(lane):
+            at, end, state = a[lane], a[lane] + size[lane], out[a[lane] - 1]
+            changed = []
+            while len(at):
+                state = self.step[state * self.classes + kind[at]]
+                differs = out[at] != state
+                at, end, state, lane = at[differs], end[differs], state[differs], lane[differs]
+                out[at] = state
+                at = at + 1
+                done = at == end
+                changed.append(lane[done])
+                at, end, state, lane = at[~done], end[~done], state[~done], lane[~done]
+            lane = np.concatenate(changed) + 1  # their ends changed, so those after them begin elsewhere
+            lane = lane[lane < len(a)]
+            lane = lane[nth[lane] > 0]
+        return out
+
+    def scan(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(place, rules) of the bytes at which a match ends (backwards: starts), in order."""
+        got = self.accept[self.states(data, offsets)]
+        at = np.flatnonzero(got)
+        return np.stack([at, got[at]], axis=1)
+
+    def longest(self, raw: bytes, at: int, end: int) -> int:
+        """The end of the longest match of an anchored automaton from `at` on; -1 where there is none."""
+        state, best, rows, accept, dead = self.start, -1, self.rows, self.accept, self.dead
+        while at < end and state != dead:
+            state = rows[state][raw[at]]
+            at += 1
+            if accept[state]:
+                best = at
+        return best

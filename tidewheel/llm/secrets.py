@@ -1,17 +1,21 @@
 """Secret scans through one combined automaton.
 
-Every rule is compiled into one minimal automaton; its pass over a text's bytes marks the few pieces in
-which a rule ends. Within those pieces the same rules, as expressions, give exact spans: leftmost and not
-overlapping for each kind, matches that fail a kind's test dropped without a retry. Reset bytes occur in no
-match, so a piece holds each of its matches whole. Offsets are code points, the end exclusive.
-
-Null and empty texts have no spans. Repeated rows are scanned alike; extra columns are ignored.
+The mirror images of all rules are compiled into one minimal automaton. Its single pass over a text's bytes,
+from the right, tells for every byte which rules have a match that starts there. From the leftmost start of
+a rule an automaton of that rule alone, anchored there, gives the longest match; the next one is sought from
+its end on, so spans of a rule are leftmost and do not overlap, as with a greedy expression. Matches whose
+value is too short are dropped without a retry. Every byte is read once backwards and, within matches, once
+forwards for each rule (twice where a rule has a value), however long lines and texts are.
+Offsets are code points, the end exclusive.
+
+Null and empty texts have no spans. Texts are scanned whole and as UTF-8, so no letter outside ASCII is taken for
+one of a rule. Repeated rows are scanned alike, an empty table gives no rows, extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import cache
 
 import numpy as np
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .shared import chunks
+from .shared import bounded, chunks
 
 
 def _either_case(word: str) -> str:
@@ -28,41 +32,48 @@ def _either_case(word: str) -> str:
 
 
 _NAMES = "(?:" + "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
-_VALUE = "[A-Za-z0-9+/_.=-]"
-#: kind, expression whose matches are taken (group 1, if any, is the value), least length of the value, the automaton's rule:
-#: where counting would multiply states, the rule ends at a match's first telling byte and the confirmation counts.
+_HEAD = _NAMES + "[\"']?\\x20*[:=]\\x20*[\"']?"
+#: kind, rule, least length of the value, head (the part of a match before its value). A rule that is one long run of a
+#: class asks for its least length at once, as a run is taken whole or not at all.
 BASE = (
-    ("assign", _NAMES + "[\"']?\\x20*[:=]\\x20*[\"']?(" + _VALUE + "+)", 12, _NAMES + "[\"']?\\x20*[:=]\\x20*[\"']?" + _VALUE),
-    ("access", "AKIA[A-Z0-9]+", 18, "AKIA[A-Z0-9]"),
-    ("hex", "[0-9a-f]+", 16, "[0-9a-f]{16,}"),
+    ("assign", _HEAD + "[A-Za-z0-9+/_.=-]+", 12, _HEAD),
+    ("access", "AKIA[A-Z0-9]+", 18, ""),
+    ("hex", "[0-9a-f]{16,}", 16, ""),
 )
 #: Rules that the method adds.
 EXTRA = (
-    ("github", "gh[opsu]_[A-Za-z0-9]+", 40, "gh[opsu]_[A-Za-z0-9]"),
-    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 15, "xox[abprs]-[A-Za-z0-9]"),
-    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, "-----BEGIN [A-Z ]"),
-    ("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 30, "eyJ[A-Za-z0-9_-]"),
+    ("github", "gh[opsu]_[A-Za-z0-9]+", 40, ""),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 15, ""),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, ""),
+    ("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 30, ""),
 )
 RULES = BASE + EXTRA
 
 
 @cache
 def compiled():
-    return Automaton([r[3] for r in RULES]), [(k, re.compile(e.encode()), least) for k, e, least, _ in RULES]
+    starts = Automaton([r[1] for r in RULES], backwards=True)
+    return starts, [(Automaton([rule], anchored=True), Automaton([head], anchored=True) if head else None, least) for _, rule, least, head in RULES]
 
 
 def text_spans(texts: pa.Array):
-    """For each text its spans (kind number, start, end) in bytes, and the text's bytes, where there are any."""
-    machine, rules = compiled()
+    """For each text its spans (start, kind number, end) in code points."""
+    starts, rules = compiled()
     for lo, hi, data, offsets in chunks(texts):
-        raw = data.tobytes()
         found: list[list] = [[] for _ in range(hi - lo)]
-        for a, z, bits in machine.scan(data, offsets).tolist():
-            i = int(np.searchsorted(offsets, a, side="right")) - 1
-            piece, base = raw[a:z], a - int(offsets[i])
-            for k, (_, rule, least) in enumerate(rules):
-                if bits >> k & 1:
-                    found[i] += [(k, base + m.start(), base + m.end()) for m in rule.finditer(piece) if len(m.group(rule.groups)) >= least]
+        marks = starts.scan(data, offsets)
+        if len(marks):
+            raw = data.tobytes()
+            text = np.searchsorted(offsets, marks[:, 0], side="right") - 1
+            for k, (whole, head, least) in enumerate(rules):
+                own = (marks[:, 1] >> k) & 1 == 1
+                done = 0
+                for i, at in zip(text[own].tolist(), marks[own, 0].tolist(), strict=True):
+                    if at >= done:
+                        end = int(offsets[i + 1])
+                        done = whole.longest(raw, at, end)
+                        if done - (head.longest(raw, at, end) if head else at) >= least:
+                            found[i].append((k, at - int(offsets[i]), done - int(offsets[i])))
         for i, spans in enumerate(found):
             yield _code_points(raw[offsets[i] : offsets[i + 1]], spans) if spans else []
 
@@ -81,7 +92,7 @@ def span_columns(names: list[str], base: int, spans_of):
 
     def run(batches):
         empty = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
+        for batch in bounded(batches, 1):
             counts, digests, texts = [[] for _ in range(base)], [], []
             for spans in spans_of(batch.column(1)):
                 for k in range(base):
