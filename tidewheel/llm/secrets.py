@@ -84,24 +84,27 @@ def _code_points(raw: bytes, spans):
 
 
 def joined(spans, names, only: int | None = None) -> str:
-    return ",".join(f"{names[k]}:{a}:{z}" for a, k, z in spans if only is None or k < only)
+    return ",".join(f"{names[x[1]]}:{x[0]}:{x[2]}" for x in spans if only is None or x[1] < only)
 
 
-def span_columns(names: list[str], base: int, spans_of):
-    """A mapInArrow function: doc_id, counts of the base kinds, digest of the base spans, all spans."""
+def span_columns(names, base: int, spans_of, scores: bool = False):
+    """A mapInArrow function: doc_id, counts of the base kinds, digest of the base spans, all spans, and their scores if asked for.
+
+    spans_of gives (start, kind number, end) of each text in order, and a score as a fourth value if asked for.
+    """
 
     def run(batches):
-        empty = hashlib.sha256(b"").hexdigest()
         for batch in bounded(batches, 1):
-            counts, digests, texts = [[] for _ in range(base)], [], []
+            counts, digests, texts, marks = [[] for _ in range(base)], [], [], []
             for spans in spans_of(batch.column(1)):
                 for k in range(base):
                     counts[k].append(sum(x[1] == k for x in spans))
-                own = joined(spans, names, base)
-                digests.append(hashlib.sha256(own.encode()).hexdigest() if own else empty)
+                digests.append(hashlib.sha256(joined(spans, names, base).encode()).hexdigest())
                 texts.append(joined(spans, names))
-            out = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", *(f"n_{n}" for n in names[:base]), "base_sha256", "spans"])
+                marks.append(",".join(f"{x[3]:.3f}" for x in spans) if scores else None)
+            last = [pa.array(x, pa.string()) for x in ([digests, texts, marks] if scores else [digests, texts])]
+            out = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *last]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", *(f"n_{n}" for n in names[:base]), "base_sha256", "spans", *["scores"] * scores])
 
     return run
 
