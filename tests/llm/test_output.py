@@ -165,3 +165,83 @@ def test_the_query_takes_the_librarys_own_treatment_of_added_tokens(spark, tmp_p
     for r in sorted(op10_token_bit_planes(spark, str(tmp_path)).collect(), key=lambda r: r.start):
         got.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
     assert list(got) == [None, 1, 2, 3, 4, 7] and {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def xxh(*values, seed=42):
+    """Spark's xxhash64: int as 4 bytes, long (here: a number in a list) as 8."""
+    import struct
+
+    import xxhash
+
+    for v in values:
+        if v is not None:
+            raw = struct.pack("<q", v[0]) if isinstance(v, list) else struct.pack("<i", v)
+            seed = xxhash.xxh64(raw, seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def swap_or_not(x, n, *salt):
+    for r in range(1, mixing.ROUNDS + 1):
+        other = (xxh(*salt, r) % n - x) % n
+        if xxh(*salt, r, [max(x, other)]) & 1:
+            x = other
+    return x
+
+
+def mixed(rows, block=64, repeats=3, seed=17):
+    """(doc_id, size, taken) of (doc_id, words, source) by plain loops."""
+    sizes = {}
+    for _, k, s in rows:
+        sizes[s] = sizes.get(s, 0) + k
+    target = water_fill(sizes)
+    out = []
+    for place, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or ""))):
+        own = sorted(((xxh([i], [k]) % mixing.PARTS, i, k) for i, k, t in rows if t == s), key=lambda x: x)
+        blocks = -(-sizes[s] // block)
+        times = [0] * blocks
+        for n in range(min(int(target[s] * blocks / max(sizes[s], 1) + 0.5), blocks * repeats)):
+            times[swap_or_not(n % blocks, blocks, seed, place, [n // blocks])] += 1
+        off = 0
+        for _, i, k in own:
+            out.append((i, k, sum(times[w // block] for w in range(off, off + k))))
+            off += k
+    return sorted(out)
+
+
+def test_mixing_equals_a_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.source) for r in docs.collect()]
+    got = mixing.mix_sources(docs, slots=64).select("doc_id", "size", "taken").collect()
+    assert sorted(map(tuple, got)) == mixed(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
+def test_permutations_are_exact(spark, n):
+    frame = spark.range(n).select(*[mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(s)).alias(str(s)) for s in (1, 2)]).toPandas()
+    assert sorted(frame["1"]) == sorted(frame["2"]) == list(range(n))
+    if n > 60:
+        assert list(frame["1"]) != list(frame["2"]) and list(frame["1"]) != list(range(n))
+
+
+def test_permutations_of_large_sources(spark):
+    n = 1 << 40
+    frame = spark.range(n - 20_000, n).select("id", mixing.permuted(F.col("id"), F.lit(n), F.lit(7)).alias("at")).toPandas()
+    assert frame["at"].nunique() == 20_000 and frame["at"].between(0, n - 1).all() and abs(frame["at"].mean() / n - 0.5) < 0.02
+    assert frame["at"][5] == swap_or_not(int(frame["id"][5]), n, 7)
+
+
+def test_shards_draw_their_sources(spark):
+    goal = spark.createDataFrame([(0, 900, 2000), (1, 90, 100), (2, 5, 0), (3, 10, 5)], "place long, blocks long, wanted long")
+    rows = mixing.drawn(goal, slots=100).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.shard, {})[r.place] = r["count"]
+    assert sorted(per) == list(range(22)) and sum(sum(x.values()) for x in per.values()) == 2105
+    assert len({x.get(0) for x in per.values()}) > 5  # counts vary as draws do
+    for p in (0, 1, 3):
+        at = 0
+        for r in sorted((r for r in rows if r.place == p), key=lambda r: r.shard):
+            assert r["from"] == at
+            at += r["count"]
+    n = mixing.numbered(goal, slots=100).groupBy("place").agg(F.count("*").alias("n"), F.countDistinct("n").alias("d"), F.max("n").alias("m")).collect()
+    assert sorted(map(tuple, n)) == [(0, 2000, 2000, 1999), (1, 100, 100, 99), (3, 5, 5, 4)]
