@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 BLOCK, SLOTS, REPEATS, WEIGHTS = 64, 4096, 3, (5, 2, 1)
-PARTS, PART_ROWS, GROUP, BINS, ROUNDS, FEW_SOURCES = 1024, 1 << 16, 1024, 4096, 20, 10_000
+PARTS, PART_ROWS, GROUP, BINS, ROUNDS, FEW_SOURCES, TASK_SLOTS = 1024, 1 << 16, 1024, 4096, 20, 10_000, 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -98,7 +98,9 @@ def numbered(goal: DataFrame, slots: int = SLOTS, seed: int = 17) -> DataFrame:
     got = shards.groupBy("place").agg(F.sum("count").alias("got"))
     short = goal.join(got, "place", "left").select("place", "blocks", F.coalesce("got", F.lit(0)).alias("from"), F.col("wanted").alias("to"))
     spans = shards.select("place", "blocks", "from", F.least(F.col("from") + F.col("count"), "wanted").alias("to")).unionByName(short)
-    return spans.where("from < to").select("place", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("n"))
+    tasks = max(int(goal.sparkSession.conf.get("spark.sql.shuffle.partitions")), (goal.agg(F.sum("wanted")).first()[0] or 0) // TASK_SLOTS)
+    spans = spans.where("from < to").repartition(tasks, "place", "from")  # a span is a row here and up to `slots` rows after
+    return spans.select("place", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("n"))
 
 
 def mix_sources(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
