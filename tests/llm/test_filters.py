@@ -320,3 +320,75 @@ def test_long_lines_take_little_time():
         began = time.process_time()
         find_spans(line, model, limits)
         assert time.process_time() - began < 8, piece  # in proportion to the line: a square would take hours
+
+
+def brute_contamination(docs, items, window=8, share=0.5, least=13, literal=5):
+    """Every item against every document on every diagonal; a diagonal counts where a whole window is equal in either form."""
+    from tidewheel.llm.decontaminate import diagonal, folded, template
+
+    out = []
+    for text in docs:
+        kinds, values = template(text)
+        names = folded(kinds, values)
+        found = {}
+        for i, item in items:
+            own, own_values = template(item)
+            own_names = folded(own, own_values)
+            n = min(window, len(own))
+            for shift in range(n - len(own), len(kinds) - n + 1) if n else ():
+                ps = range(max(0, -shift), min(len(own), len(kinds) - shift) - n + 1)
+                if any(own[p : p + n] == kinds[p + shift : p + shift + n] or own_names[p : p + n] == names[p + shift : p + shift + n] for p in ps):
+                    best = diagonal(own, own_values, kinds, values, shift, literal)
+                    if best and (best >= least or best >= share * len(own)):
+                        found[i] = max(found.get(i, 0), best)
+        out.append(found)
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    from tidewheel.llm import decontaminate
+
+    r = np.random.default_rng(21)
+    names, verbs = ["Paris", "Lyon", "Anna", "Oslo", "Bert"], ["runs", "buys", "moves", "sees", "holds", "and", "then", "with", "the", "box", "of", "red", "km", "kg"]
+
+    def sentence(n):
+        return " ".join(str(r.choice(names)) if x < 0.15 else str(r.integers(1, 90)) if x < 0.3 else str(r.choice(verbs)) for x in r.random(n))
+
+    items = [(i, sentence(int(r.integers(3, 40)))) for i in range(30)]
+
+    def changed(t):
+        swap = dict(zip(names, r.permutation(names), strict=True))
+        words = [swap.get(w, str(int(w) + 1) if w.isdigit() else w) for w in t.split()]
+        for _ in range(int(r.integers(0, 2))):
+            words[int(r.integers(0, len(words)))] = "other"
+        return " ".join(words)
+
+    forms = [str, str.upper, str.lower, str.title, changed, lambda t: changed(t).lower(), lambda t: " ".join(t.split()[: len(t.split()) // 2])]
+    docs = [None, ""] + [f"{sentence(20)} {forms[j % len(forms)](items[j % 30][1])} {sentence(15)}" for j in range(90)]
+    want = brute_contamination(docs, items)
+    frame = spark.createDataFrame([(i, t, "c") for i, t in enumerate(docs)], "doc_id long, text string, longest string")
+    bench = spark.createDataFrame([*items, (None, "x y z"), (99, None)], "item_id long, text string")
+    for most, pairs in ((2_000_000, 1 << 20), (400, 3)):  # in one part, in many parts and small joins
+        monkeypatch.setattr(decontaminate, "MAX_WINDOWS", most)
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        got = {x.doc_id: x for x in find_contamination(frame, bench).collect()}
+        assert [got[i].item_ids for i in range(len(docs))] == [sorted(x) for x in want]
+        assert [got[i].longest for i in range(len(docs))] == [max(x.values(), default=0) for x in want]
+
+
+def test_copies_of_benchmark_items_in_any_case_are_found(spark):
+    d = "/root/testdata/sf0.001"
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    forms = {"as is": str, "lower": str.lower, "upper": str.upper, "title": str.title, "renumbered": lambda t: re.sub(r"\d", "7", t)}
+    rows = [(f"{f}:{i}", "Some words before it. " + g(t) + " And some after.") for f, g in forms.items() for i, t in items]
+    got = {x.doc_id: x.item_ids for x in find_contamination(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for f in forms:
+        assert np.mean([i in got[f"{f}:{i}"] for i, _ in items]) >= 0.9, f
+
+
+def test_every_row_of_the_decontamination_fixture(spark):
+    item = "A train from Paris travels 120 km in 3 hours and then stops at Lyon before it turns back. How fast did Paris see it go?"
+    rows = [(1, item.upper()), (2, "A train from Berlin travels 250 km in 5 hours and then stops at Berlin before it turns back. How fast did Munich see it go?"), (1, item.upper()), (3, item.replace("Paris", "Bonn").replace("Lyon", "Kiel").lower())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_ids, r.longest) for r in find_contamination(docs, spark.createDataFrame([(10, item), (10, item)], "item_id long, text string")).collect())
+    assert got == [(1, [10], 26), (1, [10], 26), (2, [10], 22), (3, [10], 26)]

@@ -1,33 +1,41 @@
 """Benchmark decontamination by template windows.
 
 Words become template tokens: numbers, names (a capital inside a sentence) and units turn into typed
-placeholders, others into their letters and digits in lower case. WINDOW successive template tokens are
-hashed (a shorter item is one window of its own length) and hash-joined with the benchmark's windows, once
+placeholders, others into their letters and digits in lower case. The hashes of WINDOW successive template
+tokens (a shorter item is one window of its own length) are joined with those of the benchmark's windows, once
 with placeholders for names and once with the names' own letters, so copies in another case meet as well.
-Along each diagonal (document position minus item position) that has hits, runs of equal template tokens or
-equal values are taken. A stretch is a part of a run in which every placeholder of the item maps to one value of the document
+Along each diagonal (document position minus item position) that has hits, runs of alike tokens are taken:
+equal template tokens, equal values, or a name of the item and any word, so names count in whatever case they
+are written. A stretch is a part of a run in which every placeholder of the item maps to one value of the document
 and equal values stay equal (slot consistency; a run is cut where a slot conflicts) and at least `literal`
 tokens are no placeholders, which finds re-parameterised questions and rejects chance alignments; or a part
 of equal values, whatever its tokens. A stretch that covers `share` of an item, or `least` tokens of it,
 contaminates the document.
 
-The benchmark is dealt in parts of at most MAX_WINDOWS windows, each broadcast and matched in a pass of
-its own, so what is broadcast is bounded whatever the benchmark's size. Documents are never shuffled.
-Null and empty texts, of documents and items, match nothing. Repeated rows are judged alike.
+The hash join's build side is the benchmark: sorted arrays of window hashes, broadcast in parts of at most
+MAX_WINDOWS windows (or one item, if that has more), made once in a worker process. Parts follow one another, each in
+a pass of its own over a written table, so neither the driver nor a worker ever holds more than one. Documents are the
+probe side and are never shuffled, so a window that many documents share is no hot key.
+
+Null and empty texts, of documents and items, match nothing; items without an id are left out. Texts of any
+length are read whole. Several items may match; all are listed, in ascending order, each once. Repeated rows are
+judged alike, an empty table on either side gives no matches. Columns `contaminated`, `item_ids` and `longest` of
+the documents are replaced; others are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded
+from .shared import bounded, mix, staged
 
-WINDOW, SHARE, LEAST, LITERAL, MAX_WINDOWS = 8, 0.5, 13, 5, 2_000_000
+WINDOW, SHARE, LEAST, LITERAL, MAX_WINDOWS, PAIRS, KNOWN_BYTES = 8, 0.5, 13, 5, 2_000_000, 1 << 20, 64 << 20
 NUMBER, NAME, UNIT = PLACEHOLDERS = "<number>", "<name>", "<unit>"
 #: Units of measure and currency in their common short and long forms.
 UNITS = frozenset(
@@ -41,32 +49,54 @@ _NUM = re.compile(r"[+\-$€£]*\d[\d.,:/%]*")
 _NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 
 
+def _word(w: str):
+    """(letters and digits in lower case, is a number, may be a unit, is capitalised, ends a sentence) of a word."""
+    bare = _BARE.sub("", w)
+    low = bare.lower()
+    number = bool(bare) and bare[0].isdigit() and _NUM.fullmatch(w.strip("()[]\"'!?;")) is not None or low in _NUMBER_WORDS
+    return low, number, low in UNITS, bool(bare) and bare[0].isupper() and not bare.isupper(), w[-1] in ".!?:"
+
+
+class Reader:
+    """Template tokens of texts; what is known of a word is kept, up to KNOWN_BYTES."""
+
+    def __init__(self):
+        self.known, self.held = {}, 0
+
+    def template(self, text: str | None) -> tuple[list[str], list[str]]:
+        """Template tokens and the bare words behind them; words without letters and digits are left out."""
+        kinds, values, known = [], [], self.known
+        opening, before = True, None
+        for w in (text or "").split():
+            got = known.get(w)
+            if got is None:
+                got = known[w] = _word(w)
+                self.held += 4 * len(w) + 300
+            low, number, unit, capital, ends = got
+            if low:
+                before = NUMBER if number else UNIT if unit and before == NUMBER else NAME if capital and not opening else low
+                kinds.append(before)
+                values.append(low)
+            opening = ends
+        if self.held > KNOWN_BYTES:
+            self.known, self.held = {}, 0
+        return kinds, values
+
+
 def template(text: str | None) -> tuple[list[str], list[str]]:
-    """Template tokens and the bare words behind them; words without letters and digits are left out."""
-    kinds, values = [], []
-    opening = True
-    for w in (text or "").split():
-        bare = _BARE.sub("", w)
-        if bare:
-            low = bare.lower()
-            if bare[0].isdigit() and _NUM.fullmatch(w.strip("()[]\"'!?;")) or low in _NUMBER_WORDS:
-                kinds.append(NUMBER)
-            elif low in UNITS and kinds and kinds[-1] == NUMBER:
-                kinds.append(UNIT)
-            elif not opening and bare[0].isupper() and not bare.isupper():
-                kinds.append(NAME)
-            else:
-                kinds.append(low)
-            values.append(low)
-        opening = w[-1] in ".!?:"
-    return kinds, values
-
-
-def windows(kinds: list[str], size: int):
-    """(position, tokens) of all windows; a shorter list is one."""
-    if kinds:
-        for i in range(max(1, len(kinds) - size + 1)):
-            yield i, tuple(kinds[i : i + size])
+    return Reader().template(text)
+
+
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(max(len(codes) - size + 1, 0), np.uint64)
+    for j in range(size):
+        out = mix(out * np.uint64(3) + codes[j : j + len(out)])
+    return out
+
+
+def _codes(tokens: list[str]) -> np.ndarray:
+    """Hashes that hold within a process, where the benchmark's are made as well; what they find is compared by tokens."""
+    return np.fromiter(map(hash, tokens), np.int64, len(tokens)).view(np.uint64)
 
 
 def folded(kinds: list[str], values: list[str]) -> list[str]:
@@ -100,78 +130,130 @@ def equal_stretch(item: list[str], doc: list[str]) -> int:
     return best
 
 
+def alike(own: str, own_value: str, kind: str, value: str) -> bool:
+    return own == kind or own_value == value or own == NAME and kind not in (NUMBER, UNIT)
+
+
 class Benchmark:
+    """Items and, for each window length in use, the sorted hashes of their windows with item and position."""
+
     def __init__(self, rows: list[tuple[int, str]], size: int):
-        self.size = size
-        self.items = [(i, *template(t)) for i, t in rows]
-        self.at: dict[tuple, list[tuple[int, int]]] = {}
+        self.reader = Reader()
+        self.items = [(i, *self.reader.template(t)) for i, t in rows]
+        found: dict[int, list] = {}
         for k, (_, kinds, values) in enumerate(self.items):
-            for w, p in dict.fromkeys((w, p) for form in (kinds, folded(kinds, values)) for p, w in windows(form, size)):
-                self.at.setdefault(w, []).append((k, p))
-        self.short = sorted({len(w) for w in self.at if len(w) < size})
-
-    def matches(self, text, share, least, literal):
-        """{item_id: longest accepted stretch}."""
-        kinds, values = template(text)
-        hits: dict[tuple[int, int], None] = {}
-        at = self.at
-        forms = [kinds, folded(kinds, values)] if NAME in kinds else [kinds]
-        for size in [self.size, *self.short]:
-            for form in forms:
-                for i, w in enumerate(zip(*(form[j:] for j in range(size)))):
-                    if w in at:
-                        for k, p in at[w]:
-                            hits[k, i - p] = None
-        found: dict[int, int] = {}
-        for k, shift in hits:
-            name, own, own_values = self.items[k]
-            best = start = 0
-            for p in range(len(own) + 1):
-                i = p + shift
-                if p < len(own) and 0 <= i < len(kinds) and (own[p] == kinds[i] or own_values[p] == values[i]):
-                    continue
-                if p - start > best:
-                    run, there = slice(start, p), values[start + shift : p + shift]
-                    firm = min(literal, max(1, len(own) // 2))
-                    best = max(best, slot_stretch(own_values[run], there, own[run], firm), equal_stretch(own_values[run], there))
-                start = p + 1
-            if best and (best >= least or best >= share * len(own)):
-                found[name] = max(found.get(name, 0), best)
-        return found
+            n = min(size, len(kinds))
+            for form in (kinds, folded(kinds, values)) if n else ():
+                h = window_hashes(_codes(form), n)
+                found.setdefault(n, []).append(np.stack([h.view(np.int64), np.full(len(h), k), np.arange(len(h))]))
+        self.at = {}
+        for n, parts in sorted(found.items(), reverse=True):
+            table = np.unique(np.concatenate(parts, axis=1), axis=1)  # in order of hash; both forms of a window may be one
+            self.at[n] = table[0], table[1], table[2]
+
+    def hits(self, forms: list[np.ndarray], doc: np.ndarray, place: np.ndarray):
+        """Arrays (document, item, shift) of the diagonals with hits, in slices of at most PAIRS joined rows or one window's."""
+        for n, (hashes, item, pos) in self.at.items():
+            for codes in forms:
+                w = window_hashes(codes, n)
+                low = np.searchsorted(hashes, w.view(np.int64))
+                at = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == w.view(np.int64)))
+                at = at[doc[at] == doc[at + n - 1]]
+                low = low[at]
+                many = np.searchsorted(hashes, hashes[low], side="right") - low
+                upto, start = np.cumsum(many), 0
+                while start < len(at):
+                    end = max(start + 1, int(np.searchsorted(upto, upto[start] - many[start] + PAIRS, side="right")))
+                    k = many[start:end]
+                    entry = np.repeat(low[start:end] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                    where = np.repeat(at[start:end], k)
+                    yield np.unique(np.stack([doc[where], item[entry], place[where] - pos[entry]]), axis=1)
+                    start = end
+
+    def matches(self, texts: list, share: float, least: int, literal: int) -> list[dict[int, int]]:
+        """{item_id: longest accepted stretch} of each text."""
+        read = [self.reader.template(t) for t in texts]
+        sizes = np.array([len(k) for k, _ in read])
+        out: list[dict[int, int]] = [{} for _ in texts]
+        if not sizes.sum():
+            return out
+        forms = [_codes([x for k, _ in read for x in k])]
+        if any(NAME in k for k, _ in read):
+            forms.append(_codes([x for k, v in read for x in folded(k, v)]))
+        doc = np.repeat(np.arange(len(read)), sizes)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        seen: set[tuple[int, int, int]] = set()
+        for part in self.hits(forms, doc, place):
+            for d, k, shift in zip(*part.tolist(), strict=True):
+                if (d, k, shift) not in seen:
+                    seen.add((d, k, shift))
+                    name, own, own_values = self.items[k]
+                    best = diagonal(own, own_values, *read[d], shift, literal)
+                    if best and (best >= least or best >= share * len(own)):
+                        out[d][name] = max(out[d].get(name, 0), best)
+        return out
+
+
+def diagonal(own: list[str], own_values: list[str], kinds: list[str], values: list[str], shift: int, literal: int) -> int:
+    """Longest accepted stretch of an item against a document that begins `shift` tokens after it."""
+    best, firm = 0, min(literal, max(1, len(own) // 2))
+    p, end = max(0, -shift), min(len(own), len(kinds) - shift)
+    while p < end:
+        start = p
+        while p < end and alike(own[p], own_values[p], kinds[p + shift], values[p + shift]):
+            p += 1
+        if p - start > best:
+            run, there = slice(start, p), values[start + shift : p + shift]
+            best = max(best, slot_stretch(own_values[run], there, own[run], firm), equal_stretch(own_values[run], there))
+        p += 1
+    return best
+
+
+_BUILT: dict[str, Benchmark] = {}
+
+
+def _built(name: str, held, window: int) -> Benchmark:
+    """The part's arrays, made once a process; an earlier part's are let go."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Benchmark(held.value, window)
+    return _BUILT[name]
+
+
+def _parts(benchmark: DataFrame):
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
+    part, n = [], 0
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        more = 2 * len(r[1].split())  # with and without placeholders for names
+        if part and n + more > MAX_WINDOWS:
+            yield part
+            part, n = [], 0
+        part.append((r[0], r[1]))
+        n += more
+    if part:
+        yield part
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, literal: int = LITERAL) -> DataFrame:
     """docs with contaminated, item_ids (ascending) and longest (tokens of the longest stretch)."""
-    spark = docs.sparkSession
     docs = docs.drop("contaminated", "item_ids", "longest")
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null").orderBy("item_id")
-    parts, part, n = [], [], 0
-    for r in rows.toLocalIterator():
-        part.append((r[0], r[1]))
-        n += 2 * len(r[1].split())  # with and without placeholders for names
-        if n >= MAX_WINDOWS:
-            parts.append(part)
-            part, n = [], 0
-    parts = [*parts, part] if part or not parts else parts
     at = docs.columns.index("text")
+    out = docs.withColumns({"item_ids": F.array().cast("array<long>"), "longest": F.coalesce(F.lit(None).cast("long"), F.lit(0).cast("long"))})
 
-    def matched(frame: DataFrame, held) -> DataFrame:
-        last = len(frame.columns) - 1
+    def matched(frame: DataFrame, part) -> DataFrame:
+        held, name, last = frame.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex, len(frame.columns) - 1
 
         def run(batches):
-            own = Benchmark(held.value, window)
-            for batch in batches:
-                ids, longest = [], []
-                for text, before, most in zip(batch.column(at).to_pylist(), batch.column(last - 1).to_pylist(), batch.column(last).to_pylist(), strict=True):
-                    found = own.matches(text, share, least, literal) if own.items else {}
-                    ids.append(sorted({*before, *found}))
-                    longest.append(max([most, *found.values()]))
-                out = [*batch.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(longest, pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+            for batch in bounded(batches, at):
+                found = _built(name, held, window).matches(batch.column(at).to_pylist(), share, least, literal)
+                ids = [sorted({*before, *x}) for before, x in zip(batch.column(last - 1).to_pylist(), found, strict=True)]
+                longest = [max([most, *x.values()]) for most, x in zip(batch.column(last).to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(longest, pa.int64())], names=batch.schema.names)
 
         return frame.mapInArrow(run, frame.schema)
 
-    start = docs.withColumns({"item_ids": F.array().cast("array<long>"), "longest": F.lit(None).cast("long")})
-    start = start.withColumn("longest", F.coalesce("longest", F.lit(0).cast("long")))
-    out = reduce(matched, [spark.sparkContext.broadcast(p) for p in parts], start)
+    first = True
+    for part in _parts(benchmark):
+        out = matched(out if first else staged(out, "decontaminate"), part)
+        first = False
     return out.withColumn("contaminated", F.size("item_ids") > 0)
