@@ -329,11 +329,11 @@ def brute_contamination(docs, items, window=8, share=0.5, least=13, literal=5):
     out = []
     for text in docs:
         kinds, values = template(text)
-        names = folded(kinds, values)
+        names = folded(kinds, values).tolist()
         found = {}
         for i, item in items:
             own, own_values = template(item)
-            own_names = folded(own, own_values)
+            own_names = folded(own, own_values).tolist()
             n = min(window, len(own))
             for shift in range(n - len(own), len(kinds) - n + 1) if n else ():
                 ps = range(max(0, -shift), min(len(own), len(kinds) - shift) - n + 1)

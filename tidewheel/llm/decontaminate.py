@@ -30,13 +30,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded, mix, staged
 
 WINDOW, SHARE, LEAST, LITERAL, MAX_WINDOWS, PAIRS, KNOWN_BYTES = 8, 0.5, 13, 5, 2_000_000, 1 << 20, 64 << 20
-NUMBER, NAME, UNIT = PLACEHOLDERS = "<number>", "<name>", "<unit>"
+#: Template tokens are 64-bit numbers: these placeholders, or the hash of a word, which holds within a process.
+NUMBER, NAME, UNIT = PLACEHOLDERS = 1, 2, 3
 #: Units of measure and currency in their common short and long forms.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -54,57 +56,76 @@ def _word(w: str):
     bare = _BARE.sub("", w)
     low = bare.lower()
     number = bool(bare) and bare[0].isdigit() and _NUM.fullmatch(w.strip("()[]\"'!?;")) is not None or low in _NUMBER_WORDS
-    return low, number, low in UNITS, bool(bare) and bare[0].isupper() and not bare.isupper(), w[-1] in ".!?:"
+    return low, number, low in UNITS, bool(bare) and bare[0].isupper() and not bare.isupper(), w[-1:] in (".", "!", "?", ":", "")
 
 
 class Reader:
     """Template tokens of texts; what is known of a word is kept, up to KNOWN_BYTES."""
 
     def __init__(self):
-        self.known, self.held = {}, 0
-
-    def template(self, text: str | None) -> tuple[list[str], list[str]]:
-        """Template tokens and the bare words behind them; words without letters and digits are left out."""
-        kinds, values, known = [], [], self.known
-        opening, before = True, None
-        for w in (text or "").split():
-            got = known.get(w)
-            if got is None:
-                got = known[w] = _word(w)
-                self.held += 4 * len(w) + 300
-            low, number, unit, capital, ends = got
-            if low:
-                before = NUMBER if number else UNIT if unit and before == NUMBER else NAME if capital and not opening else low
-                kinds.append(before)
-                values.append(low)
-            opening = ends
+        self.clear()
+
+    def clear(self):
+        self.known: dict[str, int] = {}
+        self.value, self.flags, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.uint8), 0
+
+    def _learn(self, words) -> None:
+        n = len(self.known)
+        while n + len(words) > len(self.value):
+            self.value, self.flags = np.concatenate([self.value, self.value]), np.concatenate([self.flags, self.flags])
+        for i, w in enumerate(words, n):
+            low, *flags = _word(w)
+            self.known[w] = i
+            self.value[i], self.flags[i] = hash(low), sum(f << b for b, f in enumerate((not low, *flags)))
+            self.held += 4 * len(w) + 200
+
+    def read(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template tokens and the bare words behind them, of all texts in a row, and where each text's begin.
+
+        Words without letters and digits are left out.
+        """
         if self.held > KNOWN_BYTES:
-            self.known, self.held = {}, 0
-        return kinds, values
-
-
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    return Reader().template(text)
+            self.clear()
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()).fill_null("") if isinstance(texts, list) else texts.cast(pa.large_string()).fill_null(""))
+        size = split.offsets.to_numpy() - split.offsets[0].as_py() if len(split) else np.zeros(1, np.int64)
+        words = split.flatten().dictionary_encode()
+        own = words.dictionary.to_pylist()
+        self._learn([w for w in own if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[words.indices.to_numpy()] if own else np.zeros(0, np.int64)
+        flags = self.flags[at]
+        void, number, unit, capital, ends = (flags & (1 << b) > 0 for b in range(5))
+        opening = np.r_[True, ends[:-1]] if len(at) else ends
+        opening[size[:-1][size[:-1] < len(at)]] = True
+        keep = ~void
+        bounds = np.r_[0, np.cumsum(keep)][size]
+        values, number, opening = self.value[at[keep]], number[keep], opening[keep]
+        after = np.r_[False, number[:-1]] if len(number) else number
+        after[bounds[:-1][bounds[:-1] < len(number)]] = False
+        kinds = np.where(capital[keep] & ~opening, NAME, values)
+        kinds[unit[keep] & after] = UNIT
+        kinds[number] = NUMBER
+        return kinds, values, bounds
+
+
+def template(text: str | None) -> tuple[list[int], list[int]]:
+    kinds, values, _ = Reader().read([text])
+    return kinds.tolist(), values.tolist()
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    codes = codes.view(np.uint64)
     out = np.zeros(max(len(codes) - size + 1, 0), np.uint64)
     for j in range(size):
         out = mix(out * np.uint64(3) + codes[j : j + len(out)])
-    return out
-
-
-def _codes(tokens: list[str]) -> np.ndarray:
-    """Hashes that hold within a process, where the benchmark's are made as well; what they find is compared by tokens."""
-    return np.fromiter(map(hash, tokens), np.int64, len(tokens)).view(np.uint64)
+    return out.view(np.int64)
 
 
-def folded(kinds: list[str], values: list[str]) -> list[str]:
+def folded(kinds, values):
     """Template tokens with names as bare words, which no change of case or closing punctuation alters."""
-    return [v if k == NAME else k for k, v in zip(kinds, values, strict=True)]
+    return np.where(np.equal(kinds, NAME), values, kinds)
 
 
-def slot_stretch(item: list[str], doc: list[str], kinds: list[str], literal: int) -> int:
+def slot_stretch(item: list[int], doc: list[int], kinds: list[int], literal: int) -> int:
     """Longest part of a run with consistent slots and at least `literal` tokens that are no placeholders."""
     there, back, firm = {}, {}, [0]
     best = start = 0
@@ -121,7 +142,7 @@ def slot_stretch(item: list[str], doc: list[str], kinds: list[str], literal: int
     return best
 
 
-def equal_stretch(item: list[str], doc: list[str]) -> int:
+def equal_stretch(item: list[int], doc: list[int]) -> int:
     """Longest part of a run whose values are equal."""
     best = n = 0
     for a, b in zip(item, doc, strict=True):
@@ -130,7 +151,7 @@ def equal_stretch(item: list[str], doc: list[str]) -> int:
     return best
 
 
-def alike(own: str, own_value: str, kind: str, value: str) -> bool:
+def alike(own: int, own_value: int, kind: int, value: int) -> bool:
     return own == kind or own_value == value or own == NAME and kind not in (NUMBER, UNIT)
 
 
@@ -139,27 +160,33 @@ class Benchmark:
 
     def __init__(self, rows: list[tuple[int, str]], size: int):
         self.reader = Reader()
-        self.items = [(i, *self.reader.template(t)) for i, t in rows]
+        self.items = []
         found: dict[int, list] = {}
-        for k, (_, kinds, values) in enumerate(self.items):
+        every, every_value, bounds = self.reader.read([t for _, t in rows])
+        for k, (name, _) in enumerate(rows):
+            kinds, values = every[bounds[k] : bounds[k + 1]], every_value[bounds[k] : bounds[k + 1]]
+            self.items.append((name, kinds.tolist(), values.tolist()))
             n = min(size, len(kinds))
             for form in (kinds, folded(kinds, values)) if n else ():
-                h = window_hashes(_codes(form), n)
-                found.setdefault(n, []).append(np.stack([h.view(np.int64), np.full(len(h), k), np.arange(len(h))]))
+                h = window_hashes(form, n)
+                found.setdefault(n, []).append(np.stack([h, np.full(len(h), k), np.arange(len(h))]))
         self.at = {}
         for n, parts in sorted(found.items(), reverse=True):
             table = np.unique(np.concatenate(parts, axis=1), axis=1)  # in order of hash; both forms of a window may be one
-            self.at[n] = table[0], table[1], table[2]
+            first = np.zeros(1 << 16, bool)
+            first[table[0] >> 48] = True  # most windows of documents already fall through here
+            self.at[n] = table[0], table[1], table[2], first
 
     def hits(self, forms: list[np.ndarray], doc: np.ndarray, place: np.ndarray):
         """Arrays (document, item, shift) of the diagonals with hits, in slices of at most PAIRS joined rows or one window's."""
-        for n, (hashes, item, pos) in self.at.items():
+        for n, (hashes, item, pos, first) in self.at.items():
             for codes in forms:
                 w = window_hashes(codes, n)
-                low = np.searchsorted(hashes, w.view(np.int64))
-                at = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == w.view(np.int64)))
+                at = np.flatnonzero(first[w >> 48])
                 at = at[doc[at] == doc[at + n - 1]]
-                low = low[at]
+                low = np.minimum(np.searchsorted(hashes, w[at]), len(hashes) - 1)
+                same = hashes[low] == w[at]
+                at, low = at[same], low[same]
                 many = np.searchsorted(hashes, hashes[low], side="right") - low
                 upto, start = np.cumsum(many), 0
                 while start < len(at):
@@ -170,31 +197,30 @@ class Benchmark:
                     yield np.unique(np.stack([doc[where], item[entry], place[where] - pos[entry]]), axis=1)
                     start = end
 
-    def matches(self, texts: list, share: float, least: int, literal: int) -> list[dict[int, int]]:
+    def matches(self, texts, share: float, least: int, literal: int) -> list[dict[int, int]]:
         """{item_id: longest accepted stretch} of each text."""
-        read = [self.reader.template(t) for t in texts]
-        sizes = np.array([len(k) for k, _ in read])
+        kinds, values, bounds = self.reader.read(texts)
         out: list[dict[int, int]] = [{} for _ in texts]
-        if not sizes.sum():
+        if not len(kinds):
             return out
-        forms = [_codes([x for k, _ in read for x in k])]
-        if any(NAME in k for k, _ in read):
-            forms.append(_codes([x for k, v in read for x in folded(k, v)]))
-        doc = np.repeat(np.arange(len(read)), sizes)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        forms = [kinds, folded(kinds, values)] if (kinds == NAME).any() else [kinds]
+        sizes = np.diff(bounds)
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(doc)) - np.repeat(bounds[:-1], sizes)
         seen: set[tuple[int, int, int]] = set()
         for part in self.hits(forms, doc, place):
             for d, k, shift in zip(*part.tolist(), strict=True):
                 if (d, k, shift) not in seen:
                     seen.add((d, k, shift))
                     name, own, own_values = self.items[k]
-                    best = diagonal(own, own_values, *read[d], shift, literal)
+                    low, high = bounds[d] + max(0, shift), min(bounds[d + 1], bounds[d] + shift + len(own))
+                    best = diagonal(own, own_values, kinds[low:high].tolist(), values[low:high].tolist(), min(shift, 0), literal)
                     if best and (best >= least or best >= share * len(own)):
                         out[d][name] = max(out[d].get(name, 0), best)
         return out
 
 
-def diagonal(own: list[str], own_values: list[str], kinds: list[str], values: list[str], shift: int, literal: int) -> int:
+def diagonal(own: list[int], own_values: list[int], kinds: list[int], values: list[int], shift: int, literal: int) -> int:
     """Longest accepted stretch of an item against a document that begins `shift` tokens after it."""
     best, firm = 0, min(literal, max(1, len(own) // 2))
     p, end = max(0, -shift), min(len(own), len(kinds) - shift)
@@ -245,7 +271,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
         def run(batches):
             for batch in bounded(batches, at):
-                found = _built(name, held, window).matches(batch.column(at).to_pylist(), share, least, literal)
+                found = _built(name, held, window).matches(batch.column(at), share, least, literal)
                 ids = [sorted({*before, *x}) for before, x in zip(batch.column(last - 1).to_pylist(), found, strict=True)]
                 longest = [max([most, *x.values()]) for most, x in zip(batch.column(last).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(longest, pa.int64())], names=batch.schema.names)
