@@ -4,13 +4,15 @@ Unit vectors a, b with cos >= t have |a - b|^2 <= 2 - 2t. After a random rotatio
 into BLOCKS blocks; in one block at least the squared distance is within its proportional share of that
 budget. Each block is range-joined on its own: a grid over its first GRID dimensions, cells four radii
 wide; a vector is at home in one cell and visits those cells of higher number that its ball touches, so a
-pair meets in exactly one cell of a block. A pair counts in the first block that finds it, is verified in
-double precision on the whole vectors, and is then folded into link counts and local roots where it was
+pair meets in exactly one cell of a block. Pairs within the block's budget are candidates; a pair counts in the first
+block that finds it, is verified in double precision on the whole vectors, and is then folded into link counts and local roots where it was
 found: neither candidates nor links are ever written out as pairs. Cells of over TILE rows are cut into
 square tiles, so no task holds an unbounded cell. Equal vectors are one class and count by their number.
 
-Vectors that are null, zero, or hold null or non-finite components, and those with a null label, link
-with nothing; vectors of different lengths never link. Extra columns are ignored.
+Vectors that are null, zero, or hold null or non-finite components, and those with a null label or a null
+vec_id, link with nothing and take part in no join; vectors of different lengths never link. Rows that repeat a vec_id are
+rows each: equal vectors link with one another, and a vec_id stands for all its rows where links are counted.
+Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,6 +97,8 @@ def _tile(threshold: float):
         turned = exact @ rotation(dim)
         edges = block_edges(dim)
         share = budget / (len(edges) - 1)
+        own = turned[:, edges[b] : edges[b + 1]]
+        square = (own * own).sum(axis=1)
         links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
 
         def top(i):
@@ -112,9 +116,11 @@ def _tile(threshold: float):
         for left, right in blocks:
             for lo in range(0, len(left), 512):
                 x = left[lo : lo + 512]
-                near = exact[x] @ exact[right].T >= threshold - 1e-9
-                i, j = np.nonzero(near)
-                i, j = x[i], right[j]
+                near = square[x][:, None] + square[right][None, :] - 2 * (own[x] @ own[right].T) <= share + 1e-9  # the block's budget
+                rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                x, y = x[rows], right[cols]
+                i, j = np.nonzero(near[np.ix_(rows, cols)] & (exact[x] @ exact[y].T >= threshold - 1e-9))
+                i, j = x[i], y[j]
                 once = (i != j) & (~home[j] | (part[i] != part[j]) | (rep[i] < rep[j]))
                 i, j = i[once], j[once]
                 for s in range(0, len(i), 100_000):
@@ -165,5 +171,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     comps = components(found.select("a", "b"))
     of = classes.join(links, F.col("a") == F.col("rep"), "left").join(comps, F.col("id") == F.col("rep"), "left")
     of = of.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("comp", "rep").alias("component"))
-    out = keyed.join(of, ["k1", "k2"], "left")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    # written before the join: both its sides are then plain shuffles, and Spark may split a class of many rows
+    out = keyed.where("sound").join(staged(of, "of"), ["k1", "k2"]).select("vec_id", "links", "component")
+    out = out.unionByName(keyed.where("not sound").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component")))
+    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
