@@ -9,9 +9,14 @@ Candidates are confirmed on whole sets. Where a bucket still holds several compo
 the largest of them are compared with all its members, on whole sets, in tiles of at most TILE by TILE
 documents that write out one link for each component met; so a bucket loses no link and writes no pairs.
 
-Null or wordless texts have an empty set and link with nothing. Rows that repeat a doc_id are kept,
-one result each: the members compared are nodes, pairs of a doc_id and the hash of its text, so each text of
-a doc_id has its own links. A null doc_id links only with identical sets. Extra columns are ignored.
+What joins by bucket, class or text is written before the join, so both sides of it are plain shuffles and
+Spark may split a key that holds many rows (adaptive skew joins); aggregates combine before they shuffle.
+
+Null or wordless texts have an empty set and link with nothing; they take part in no join. Rows that repeat a
+doc_id are kept, one result each: the members compared are nodes, pairs of a doc_id and the hash of its text, so each
+text of a doc_id has its own links, and rows that repeat both are one member. A null doc_id links only with identical
+sets. A text of fewer than `shingle` words is one shingle; texts of any length are compared whole. Of members that could be
+centres alike the smallest doc_id is taken. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, mix, shingle_sets, staged
+from .shared import bounded, components, discard, mix, shingle_sets, staged
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 80, 160, 5
 TILE = 512
@@ -54,7 +59,7 @@ def _signatures(k: int, bins: int, rows: int):
         table = densify_table(bins)
         bands = bins // rows
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in bounded(batches, 2):
             n, k1, k2, keys = [], [], [], []
             for s in shingle_sets(batch.column(2), k):
                 n.append(len(s))
@@ -76,7 +81,7 @@ def _signatures(k: int, bins: int, rows: int):
 
 def _confirm(k: int, percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 2):
             sets = list(shingle_sets(batch.column(2), k))
             other = list(shingle_sets(batch.column(3), k))
             both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(sets, other, strict=True)], np.int64)
@@ -125,19 +130,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def marked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """near_duplicates with text_hash and first, which holds for one (doc_id, text_hash) of each component."""
-    spark = docs.sparkSession
     node = F.struct(*NODE)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
     sig = staged(docs.mapInArrow(_signatures(shingle, bins, rows), "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
+    worded = sig.where("n_shingles > 0")
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *NODE))  # a null doc_id only where there is no other
-    classes = sig.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(lowest.alias("low"))
-    classes = classes.select("n_shingles", "k1", "k2", F.struct(*[F.col(f"low.{c}").alias(c) for c in NODE]).alias("rep"))
-    reps = sig.where("n_shingles > 0").join(classes.select("rep.*"), [*NODE], "left_semi")
-    buckets = reps.select(*NODE, F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    met = staged(buckets.join(shared, "bucket"), "buckets")
-    weight = met.groupBy(*NODE).agg(F.sum("members").alias("w"))
-    met = staged(met.join(weight, [*NODE]), "buckets")
+    classes = worded.groupBy("n_shingles", "k1", "k2").agg(lowest.alias("low"))
+    classes = staged(classes.select("n_shingles", "k1", "k2", F.struct(*[F.col(f"low.{c}").alias(c) for c in NODE]).alias("rep")), "classes")
+    reps = worded.dropDuplicates([*NODE]).join(classes.select("rep.*"), [*NODE], "left_semi")
+    buckets = staged(reps.select(*NODE, F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "buckets")
+    shared = staged(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    some = staged(buckets.join(shared, "bucket"), "buckets")
+    discard(buckets, shared)
+    weight = some.groupBy(*NODE).agg(F.sum("members").alias("w"))
+    met = staged(some.join(weight, [*NODE]), "buckets")
+    discard(some)
     # The nodes grow with the input, so they are merged at every size; the texts of all documents are shuffled here and only here.
     texts = docs.join(met.select(*NODE).distinct().hint("merge"), [*NODE], "left_semi").dropDuplicates([*NODE])
     texts = staged(texts.select(node.alias("node"), "text"), "texts")
@@ -149,15 +156,18 @@ def marked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bins
 
     top = F.max(F.struct("w", (-F.col("doc_id")).alias("neg"), "text_hash", "n")).alias("top")
     centre = met.groupBy("bucket").agg(top).select("bucket", F.struct((-F.col("top.neg")).alias("doc_id"), F.col("top.text_hash").alias("text_hash")).alias("centre"), F.col("top.n").alias("m"))
+    centre = staged(centre, "centres")
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sets of other sizes cannot link
     pairs = met.join(centre, "bucket").where(node != F.col("centre")).where(alike)
     pairs = staged(pairs.select(F.least(node, "centre").alias("a"), F.greatest(node, "centre").alias("b")).distinct(), "pairs")
     links = staged(confirm(pairs), "links")
+    discard(pairs, centre)
     comps = staged(components(links), "components")
 
     # Buckets of several components: members outside a bucket's largest component against all, in tiles.
     now = met.where("members > 2").withColumn("node", node).join(comps, F.col("id") == F.col("node"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     core = now.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("comp", "m").alias("core"), F.sum("m").alias("total"), (F.sum("m") - F.max("m")).alias("rest")).where("rest > 0")
+    now, core = staged(now, "now"), staged(core, "cores")
     parts = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     open_ = now.join(core, "bucket").select("bucket", "node", "comp", (F.col("comp") != F.col("core")).alias("outside"), parts("total").alias("jn"), parts("rest").alias("in"))
     open_ = staged(open_, "open")
@@ -169,7 +179,8 @@ def marked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bins
         more = staged(tiles.groupBy("bucket", "i", "j").applyInArrow(_tile(shingle, percent), _LINK), "links")
         if not more.isEmpty():
             comps = staged(components(links.unionByName(more)), "components")
-    rep = classes.join(comps, F.col("rep") == F.col("id"), "left").select("n_shingles", "k1", "k2", F.coalesce("comp", "rep").alias("component"))
-    out = sig.join(rep, ["n_shingles", "k1", "k2"], "left").select(*NODE, "n_shingles", F.coalesce("component", node).alias("component"))
+    rep = staged(classes.join(comps, F.col("rep") == F.col("id"), "left").select("n_shingles", "k1", "k2", F.coalesce("comp", "rep").alias("component")), "components")
+    out = worded.join(rep, ["n_shingles", "k1", "k2"]).select(*NODE, "n_shingles", "component")
+    out = out.unionByName(sig.where("n_shingles = 0").select(*NODE, "n_shingles", node.alias("component")))
     out = out.withColumns({"component_id": F.col("component.doc_id"), "first": node.eqNullSafe(F.col("component"))}).drop("component")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

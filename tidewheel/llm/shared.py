@@ -46,12 +46,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that is needed no longer."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables that are needed no longer."""
+    for df in frames:
+        spark = df.sparkSession
+        for f in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(batches, at: int):
@@ -182,19 +183,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every id on an edge (a, b): comp is the smallest id reachable.
 
     Alternates large-star and small-star steps until the edges no longer change; the table shrinks to
-    one edge per id, each step ends in a staged table and no group is gathered in one task.
+    one edge per id and each step ends in a staged table. An id with many edges, the hub of a large
+    component, is one key: the smallest neighbours are written before they are joined, so that both sides
+    are plain shuffles and Spark may split the hub's edges.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     while not e.isEmpty():
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        x = large.join(low, large.a == low.k)
-        small = x.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "low")
+        large = staged(both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "large")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m"), "low")
+        small = large.join(least, large.a == least.k).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
         nxt = staged(small.where("a <> b").distinct(), "edges")
-        discard(e)
+        discard(e, low, large, least)
         e = nxt
         # done when every id has one parent and no parent has one: the edges are stars around the smallest ids
         seen = e.select(F.col("a").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(e.select(F.col("b").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
