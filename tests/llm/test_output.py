@@ -245,3 +245,57 @@ def test_shards_draw_their_sources(spark):
             at += r["count"]
     n = mixing.numbered(goal, slots=100).groupBy("place").agg(F.count("*").alias("n"), F.countDistinct("n").alias("d"), F.max("n").alias("m")).collect()
     assert sorted(map(tuple, n)) == [(0, 2000, 2000, 1999), (1, 100, 100, 99), (3, 5, 5, 4)]
+
+
+def test_every_stage_on_edge_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(4)
+    text = lambda n: " ".join(r.choice([f"w{i}" for i in range(900)], n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, contaminated boolean, n int"
+    rows = [(i, text(40), "en", None if i % 7 == 0 else f"s{i % 3}", 9, 0.1, True, 1) for i in range(60)]
+    rows += [(None, None, None, None, None, None, None, None), (None, "", None, "s1", 0, 0.2, False, 2), (70, text(30_000), "en", "s2", 5, 0.3, None, 3), rows[3], rows[3]]
+    spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one question of some words that no text holds at all"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        kept = sorted(map(tuple, got.collect()), key=str)
+        assert set(kept) <= set(rows), name
+        if name in ("quality classifier", "benchmark decontamination"):
+            assert kept == sorted(rows, key=str)
+        elif name == "MinHash near-dedup":
+            assert kept == sorted(set(rows), key=str)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.write_token_files(spark, docs, str(tmp_path))
+    assert last.count() == len(rows) and corpus_pipeline.write_token_files(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_plain_loops(spark):
+    """Stages 2 and 3 against brute force on what the classifier kept; the mix and the files against the model and the library."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.001"
+    docs = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    rows = {x.doc_id: x for x in docs.collect()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), x.text or "")) for i, x in rows.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if w else set() for i, w in words.items()}
+    top = {i: i for i in rows}
+    for a in sorted(rows):
+        for b in sorted(rows):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = {i: low if t == high else t for i, t in top.items()}
+    second = corpus_pipeline.drop_near_duplicates(spark, docs, d)
+    assert sorted(x.doc_id for x in second.collect()) == sorted(i for i, t in top.items() if i == t)
+    third = corpus_pipeline.drop_contaminated(spark, second, d).collect()
+    fourth = corpus_pipeline.mix(spark, spark.createDataFrame(third, docs.schema), d)
+    left = sorted((x.doc_id, x.text or "") for x in fourth.collect())
+    tok, start, want = Tokenizer.from_file(TOKENIZER), 0, []
+    for i, t in left:
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, corpus_pipeline.write_token_files(spark, fourth, d).collect())) == want
