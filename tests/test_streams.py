@@ -97,3 +97,50 @@ def test_connector_options():
     t = TableSource("t", "jdbc:x", "public.orders", "ts", "pk")
     (p,) = table_predicates(t, [dict(start_ts="2026-01-01", start_pk=1, end_ts="2026-01-02", end_pk=5)])
     assert p.startswith("\"ts\" >= '2026-01-01' AND")
+
+
+def test_demo_writes_the_known_files(tmp_path):
+    from tidewheel.demo import run
+
+    planner = run(str(tmp_path))
+    names = {d: {f.stem for f in (tmp_path / d).iterdir()} for d in ("jsonl", "csv")}
+    # fixed values: the ids that follow from the ranges
+    assert names["jsonl"] == {"ad22a89c8cb28a33ed7f7a3b", "1a907b348ffef9ee2c728058", "b2a4f5676d47860c5036cd46", "d1dea7d7f20a0ca4e2b60d60", "bbc52521d46e11048b0c6dbe"}
+    assert names["csv"] == {"f0dcf90e811e49c2b801b14b", "4b09d68a083a67f25a1d6471", "d46e850c5f47206654de0ed6", "47d8db7ffb4ec79958d46cba", "ae361c34c150d97fa9d0cac5"}
+    rows = [json.loads(x) for f in (tmp_path / "jsonl").iterdir() for x in f.read_text().splitlines()]
+    assert sorted(r["order_id"] for r in rows) == list(range(25)) and {r["amount"] for r in rows if r["order_id"] == 3} == {13.75}
+    assert sum(r.kind == "fetch" for r in planner.runs.values()) == 5
+    run(str(tmp_path))  # positions are kept: nothing is left to do
+
+
+def test_settings_of_existing_configurations(tmp_path):
+    source = "'sources': [{'kind': 'kafka', 'source_id': 's', 'brokers': ['b'], 'topic': 't'}]"
+    (tmp_path / "m.py").write_text(
+        f"""
+def read(r): return []
+def process(r, rows): pass
+class Keep:
+    def process(self, r): pass
+    def other(self, r): pass
+def own_args(r): return (r.task_index,), {{}}
+def plain(i): pass
+HANDLERS = [
+    {{'name': 'g', {source}, 'shared_source_group': 'g', 'data_fetcher': 'read', 'fetch_cpus': 0.5}},
+    {{'name': 'k', {source}, 'mode': 'actor', 'entrypoint': 'Keep', 'remote_method': 'other', 'cache_history': True}},
+    {{'name': 'w', {source}, 'worker': plain, 'args_builder': own_args, 'cpus_per_task': 2, 'max_parallelism': 3}},
+]
+"""
+    )
+    g, k, w = discover(tmp_path)
+    assert (g.work.run.__name__, g.shared.fetcher_id, g.shared.cpus, g.limits.batch_size) == ("process", "read", 0.5, 10_000)
+    assert k.stateful and k.work.method == "other" and k.work.history and w.work.args and w.limits.cpus_per_task == 2
+    for bad in ("HANDLERS = []", f"def process(r): pass\nWORKER_CONFIG = {{'mode': 'actor', {source}}}", f"def process(r): pass\nWORKER_CONFIG = {{'cache_history': True, {source}}}", f"def process(r): pass\nWORKER_CONFIG = {{'unheard': 1, {source}}}"):
+        (tmp_path / "m.py").write_text(bad)
+        with pytest.raises(DiscoveryError):
+            discover(tmp_path)
+
+
+def test_the_package_exports_its_names():
+    import tidewheel
+
+    assert all(getattr(tidewheel, n) is not None for n in tidewheel.__all__) and "Planner" in tidewheel.__all__

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import codec, ids
 from .operators import keyset, log
 from .plans import control
-from .plans.samples import cte, frame
+from .plans.samples import TABLES, cte, frame
 
 _QUERIES, _SQL = {}, {}
 BATCH, TASKS = 40, 3
@@ -54,8 +54,12 @@ def _log(spark, d):
     return log.events_log(spark.read.parquet(f"{d}/events.parquet"))
 
 
+def _marks(spark, d):
+    return log.events_marks(spark.read.parquet(f"{d}/events.parquet"))
+
+
 def _states(spark, d, checkpoints="checkpoints"):
-    return log.baseline(log.watermarks(_log(spark, d)), frame(spark, checkpoints), "orders", "events", "latest")
+    return log.baseline(_marks(spark, d), frame(spark, checkpoints), "orders", "events", "latest")
 
 
 def _waves(spark, d):
@@ -68,7 +72,7 @@ def _slices(spark, d):
 
 @query(f"with {LOG} select partition, low, high from marks_")
 def q_log_watermarks(spark, d):
-    return log.watermarks(_log(spark, d))
+    return _marks(spark, d)
 
 
 @query(f"with {cte('marks')} select partition, low, high, low < 0 or high < low as is_invalid from marks")
@@ -108,7 +112,7 @@ def q_log_slices(spark, d):
 
 @query(f"with {WAVES} select c.key, task_index, count(*) as n_rows, min(off) as min_offset, max(off) as max_offset, round(sum(value), 4) as sum_value from log join cut c on c.key = 'orders:events:' || partition and off >= start_offset and off < end_offset group by c.key, task_index")
 def q_log_range_read(spark, d):
-    return log.read_slices(_log(spark, d), _slices(spark, d), "orders", "events")
+    return log.events_slices(spark.read.parquet(f"{d}/events.parquet"), _slices(spark, d), "orders", "events")
 
 
 ARRIVALS = f"""{LOG}, daily as (select partition, cast(ts as date) as day, max(off) + 1 as high from log group by 1, 2),
@@ -327,6 +331,20 @@ def q_greedy_schedule(spark, d):
     return control.greedy(frame(spark, "candidates"), 10)
 
 
+TAKEN = "coalesce(list_sum(list_transform(list_filter(w.took, lambda x: x.{0} = c.{1}), lambda x: x.n)), 0)"
+
+
+@query(f"""with recursive {cte('contenders')}, walk as (select 0 as rank, '' as key, 0 as n, 16 as free_after, 7.5::double as cpus_after, [{{'h': '', 's': '', 'n': 0}}] as took
+union all select rank, key, n, free_after - n * slots_each, cpus_after - n * cpus_each, case when shared or n = 0 then took else list_append(took, {{'h': handler_id, 's': sink, 'n': n}}) end
+from (select c.rank, c.key, c.handler_id, c.sink, c.slots_each, c.cpus_each, c.shared, w.free_after, w.cpus_after, w.took,
+      cast(greatest(0, least(ceil(c.backlog / c.batch_size), w.free_after // c.slots_each, c.handler_room - {TAKEN.format('h', 'handler_id')}, (c.sink_room - {TAKEN.format('s', 'sink')}) // c.sink_share,
+           case when c.cpus_each > 0 then floor(w.cpus_after / c.cpus_each) else 1000000 end)) as integer) as n
+      from walk w join contenders c on c.rank = w.rank + 1))
+select key, n, cast(free_after as integer) as free_after, cpus_after from walk where n > 0""")
+def q_greedy_allocation(spark, d):
+    return control.allocate(frame(spark, "contenders"), 16, 7.5)
+
+
 @query(f"with {cte('runs')} select batch_id, case when not bool_and(status in ('succeeded', 'failed')) then 'running' when bool_or(status = 'failed') then 'failed' else 'succeeded' end as outcome from runs group by 1")
 def q_batch_outcome(spark, d):
     return control.batch_outcome(frame(spark, "runs"))
@@ -374,6 +392,29 @@ def q_identifier_check(spark, d):
     return frame(spark, "texts").select("id", codec.is_identifier(name).alias("plain"), codec.is_identifier(name, True).alias("qualified"))
 
 
-@query(f"with {cte('states')} select key, handler_id as handler, source_id, kind, shard, committed, observed, backlog, arrival_rate, processing_rate, active_batch_id, retention_gap from states")
+class _Marks:
+    """A source client of constant answers."""
+
+    def __init__(self, rows):
+        self.marks = {}
+        for topic, p, low, high in rows:
+            self.marks.setdefault(topic, {})[p] = low, high
+
+    def log_watermarks(self, source):
+        return self.marks[source.topic]
+
+
+@query(f"""with {cte('topic_marks')}, {cte('topic_checkpoints')}, named as (select topic || ':' || topic || ':' || partition as key, * from topic_marks)
+select key, topic as handler, cast(null as varchar) as shared_group, topic as source_id, 'log' as kind, cast(partition as varchar) as shard, cast(coalesce(committed, case when topic = 'a' then low else high end) as varchar) as committed,
+cast(high as varchar) as observed, high - coalesce(committed, case when topic = 'a' then low else high end) as backlog, 0.0::double as arrival_rate, 0.0::double as processing_rate, cast(null as varchar) as active_batch_id, cast(null as varchar) as retention_gap
+from named left join topic_checkpoints using (key)""")
 def q_snapshot_sources(spark, d):
-    return frame(spark, "states").select("key", F.col("handler_id").alias("handler"), "source_id", "kind", "shard", "committed", "observed", "backlog", "arrival_rate", "processing_rate", "active_batch_id", "retention_gap")
+    """What a planner that has observed its sources tells of them."""
+    from .streaming.checkpoints import MemoryCheckpoints
+    from .streaming.planner import Planner
+    from .types import LogSource, make_handler
+
+    handlers = [make_handler(t, print, (LogSource(t, ("b",), t, initial_offset="earliest" if t == "a" else "latest"),)) for t in ("a", "b")]
+    planner = Planner(handlers, _Marks(TABLES["topic_marks"][1]), checkpoints=MemoryCheckpoints(dict(TABLES["topic_checkpoints"][1])))
+    planner.observe()
+    return planner.snapshot(spark)[0]

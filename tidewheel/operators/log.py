@@ -10,10 +10,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def events_log(events: DataFrame, partitions: int = 4) -> DataFrame:
-    """A log derived from the events table: (partition, off, value) by event_id."""
-    p = F.pmod("user_id", F.lit(partitions)).cast("int")
-    return events.withColumn("partition", p).withColumn("off", (F.row_number().over(Window.partitionBy("partition").orderBy("event_id")) - 1).cast("long"))
+STEP = 1 << 16
+
+
+def _blocks(events: DataFrame, partitions: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """The events with their partition and block of ids, and (p, b, n, base): how many a block holds and how many come before.
+
+    Ranks are taken in two levels, so no task holds more of a partition than `step` ids: sums over blocks, then places inside.
+    """
+    own = events.withColumns({"partition": F.pmod("user_id", F.lit(partitions)).cast("int"), "block": F.expr(f"event_id div {step}")})
+    counts = own.groupBy(F.col("partition").alias("p"), F.col("block").alias("b")).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    return own, counts.withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+
+
+def _placed(own: DataFrame, blocks: DataFrame) -> DataFrame:
+    inside = Window.partitionBy("partition", "block").orderBy("event_id")
+    joined = own.join(blocks, F.expr("partition <=> p and block = b"))
+    return joined.withColumn("off", (F.col("base") + F.row_number().over(inside) - 1).cast("long")).drop("p", "b", "n", "base", "block")
+
+
+def events_log(events: DataFrame, partitions: int = 4, step: int = STEP) -> DataFrame:
+    """A log derived from the events table: events with (partition, off), offsets in order of event_id from 0."""
+    return _placed(*_blocks(events, partitions, step))
+
+
+def events_marks(events: DataFrame, partitions: int = 4) -> DataFrame:
+    """The watermarks of that log: counts, so nothing is ranked and a partition sends one number a task."""
+    return events.groupBy(F.pmod("user_id", F.lit(partitions)).cast("int").alias("partition")).agg(F.lit(0).cast("long").alias("low"), F.count("*").alias("high"))
+
+
+def events_slices(events: DataFrame, cut: DataFrame, handler: str, source: str, partitions: int = 4, step: int = STEP) -> DataFrame:
+    """read_slices of that log, of which only the blocks that a slice touches are placed."""
+    own, blocks = _blocks(events, partitions, step)
+    keyed = blocks.withColumn("key", state_key(handler, source, F.col("p")))
+    touched = keyed.join(F.broadcast(cut), "key").where("base < end_offset and base + n > start_offset").select("p", "b", "n", "base").distinct()
+    return read_slices(_placed(own, touched), cut, handler, source)
 
 
 def watermarks(log: DataFrame) -> DataFrame:
@@ -70,9 +102,9 @@ def slices(waves: DataFrame, batch_size: int, tasks: int) -> DataFrame:
 
 
 def read_slices(log: DataFrame, cut: DataFrame, handler: str, source: str) -> DataFrame:
-    """Rows of each slice. A row finds its slice by key and range; the slices are a few rows a shard."""
+    """Rows of each slice. A row finds its slice by key and range; slices are at most `tasks` rows a shard, so they are broadcast."""
     keyed = log.withColumn("key", state_key(handler, source, F.col("partition")))
-    joined = keyed.join(cut, "key").where("off >= start_offset and off < end_offset")
+    joined = keyed.join(F.broadcast(cut), "key").where("off >= start_offset and off < end_offset")
     return joined.groupBy("key", "task_index").agg(F.count("*").alias("n_rows"), F.min("off").alias("min_offset"), F.max("off").alias("max_offset"), F.round(F.sum("value"), 4).alias("sum_value"))
 
 

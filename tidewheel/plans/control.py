@@ -84,6 +84,38 @@ def greedy(candidates: DataFrame, slots: int) -> DataFrame:
     return folded.select(F.inline("out"))
 
 
+def allocate(candidates: DataFrame, slots: int, cpus: float) -> DataFrame:
+    """(key, n, free_after, cpus_after): tasks for contenders in order of rank, each from what those before it have left.
+
+    candidates(key, rank, handler_id, sink, backlog, batch_size, handler_room, sink_room, sink_share, slots_each, cpus_each,
+    shared): rooms are those before the walk. A contender takes slots, cpus (none if cpus_each is 0) and, if it is no group, room
+    of its handler and its sink; a group's handlers start later, so it takes slots for them but no room. One that gets no task is
+    passed over. The fold runs over one array of one row a shard.
+    """
+    c = ("rank", "key", "handler_id", "sink", "backlog", "batch_size", "handler_room", "sink_room", "sink_share", "slots_each", "cpus_each", "shared")
+    rows = candidates.agg(F.array_sort(F.collect_list(F.struct(*c))).alias("c"))
+    took = F.array().cast("array<struct<h:string,s:string,n:int>>")
+    out = F.array().cast("array<struct<key:string,n:int,free_after:int,cpus_after:double>>")
+
+    def used(acc, field, name):
+        return F.aggregate(F.filter(acc["took"], lambda x: x[field] == name), F.lit(0), lambda a, x: a + x["n"])
+
+    def step(acc, x):
+        cpu = F.when(x["cpus_each"] > 0, F.floor(acc["cpus"] / x["cpus_each"])).otherwise(F.lit(1 << 30))
+        most = F.least(F.ceil(x["backlog"] / x["batch_size"]), F.floor(acc["free"] / x["slots_each"]), cpu)
+        n = F.greatest(F.lit(0), F.least(most, x["handler_room"] - used(acc, "h", x["handler_id"]), F.floor((x["sink_room"] - used(acc, "s", x["sink"])) / x["sink_share"]))).cast("int")
+        free, left = (acc["free"] - n * x["slots_each"]).cast("int"), acc["cpus"] - n * x["cpus_each"]
+        held = F.concat(acc["took"], F.array(F.struct(x["handler_id"].alias("h"), x["sink"].alias("s"), n.alias("n"))))
+        row = F.struct(x["key"].alias("key"), n.alias("n"), free.alias("free_after"), left.alias("cpus_after"))
+        return F.struct(
+            free.alias("free"), left.alias("cpus"), F.when(x["shared"] | (n == 0), acc["took"]).otherwise(held).alias("took"),
+            F.when(n > 0, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
+        )
+
+    begin = F.struct(F.lit(slots).alias("free"), F.lit(cpus).alias("cpus"), took.alias("took"), out.alias("out"))
+    return rows.select(F.aggregate("c", begin, step, lambda acc: acc["out"]).alias("out")).select(F.inline("out"))
+
+
 def group_violations(members: DataFrame) -> DataFrame:
     """What makes a shared group unusable; a row a violation."""
     per = members.groupBy("grp").agg(

@@ -35,6 +35,20 @@ TABLES = {
     ),
     "wants": ("key string, backlog long, batch_size int, max_parallelism int, cpus_per_task double, stateful boolean, free_slots int, handler_slots int, sink_slots int, free_cpus double", [("a", 25, 10, 4, 1.0, False, 64, 4, 8, 8.0), ("b", 1000, 10, 4, 2.0, False, 64, 3, 8, 5.0), ("c", 1000, 10, 4, 2.0, True, 64, 4, 1, 0.0), ("d", 0, 10, 4, 1.0, False, 64, 4, 8, 8.0), ("e", 90, 10, 4, 1.0, False, 64, -1, 8, 8.0)]),
     "candidates": ("key string, rank int, want int, slots_each int", [("d", 1, 1, 1), ("a", 2, 4, 1), ("b", 3, 3, 3), ("c", 4, 2, 1), ("z", 5, 4, 1)]),
+    "contenders": (
+        "key string, rank int, handler_id string, sink string, backlog long, batch_size int, handler_room int, sink_room int, sink_share int, slots_each int, cpus_each double, shared boolean",
+        [
+            ("d", 1, "h1", "s1", 1, 10, 4, 3, 1, 1, 1.0, False),
+            ("a", 2, "h1", "s1", 100, 10, 4, 3, 1, 1, 1.0, False),
+            ("g", 3, "group1", "s1", 50, 10, 4, 3, 2, 3, 2.0, True),
+            ("b", 4, "h2", "s2", 30, 10, 4, 8, 1, 1, 2.0, False),
+            ("c", 5, "h3", None, 1000, 10, 4, 100, 1, 1, 0.0, False),
+            ("k", 6, "group2", "s3", 50, 10, 9, 8, 2, 3, 0.25, True),
+            ("z", 7, "h4", "s4", 10, 10, 4, 8, 1, 1, 0.5, False),
+        ],
+    ),
+    "topic_marks": ("topic string, partition int, low long, high long", [("a", 0, 0, 100), ("a", 1, 5, 50), ("b", 0, 3, 30), ("b", 1, 0, 7)]),
+    "topic_checkpoints": ("key string, committed long", [("a:a:0", 40), ("b:b:1", 2)]),
     "runs": (
         "run_id string, batch_id string, handler_id string, status string, kind string",
         [("r1", "b1", "jsonl", "succeeded", "handler"), ("r2", "b1", "csv", "failed", "handler"), ("r3", "b2", "audit", "running", "handler"), ("r4", "b2", "audit", "submitted", "handler"), ("r5", "b3", "jsonl", "running", "fetch"), ("r6", "b4", "model", "succeeded", "handler"), ("r7", "b4", "model", "succeeded", "handler"), ("r8", "b2", "model", "running", "handler")],

@@ -33,7 +33,7 @@ class FanOut:
                         break
                     except Exception as e:
                         if attempt > retries:
-                            failed.append((batch_id, name, attempt, str(e)[:2000]))
+                            failed.append((batch_id, name, attempt, str(e)))
         finally:
             frame.unpersist()
         if failed:
