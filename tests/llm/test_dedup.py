@@ -125,3 +125,46 @@ def test_hot_cells_are_tiled(spark, monkeypatch):
     u = np.array([x[1] for x in rows])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     assert [x.n_links for x in whole] == [int(n) - 1 for n in (u @ u.T >= 0.98).sum(axis=1)]
+
+
+@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op3_embedding_near_dedup", "op8_secret_automaton"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tidewheel.llm import registry
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet')")
+    got = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in got.description]
+    frame = registry.queries()[name](spark, d)
+    assert sorted(frame.columns) == sorted(columns)
+    assert sorted(map(tuple, frame.select(*columns).collect())) == sorted(got.fetchall())
+
+
+def test_hot_groups_and_repeated_rows(spark):
+    """A third of the rows are copies of one text, a third repeat one row, and many have no words."""
+    r = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = " ".join(r.choice(vocabulary, 60))
+    rows = [(i, base) for i in range(200)] + [(1000, "one row that comes again and again")] * 200 + [(2000 + i, None) for i in range(100)] + [(None, "")] * 30
+    rows += [(3000 + i, base + f" tail {i}") for i in range(40)] + [(5000, "other " * 30_000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        want = 0 if x.doc_id is not None and (x.doc_id < 200 or 3000 <= x.doc_id < 4000) else x.doc_id
+        assert (x.component_id, x.kept) == (want, x.doc_id == want or x.doc_id is None)
+
+
+def test_unsound_and_repeated_vectors(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    rows = [(i, None, 1) for i in range(50)] + [(100 + i, v, None) for i in range(50)] + [(None, v, 1), (None, v, 1)] + [(200, v, 1)] * 3 + [(201, [2.0, 4.0, 6.0, 8.0], 1), (202, v, 2)]
+    got = near_vectors(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, links string")).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for x in got:
+        by.setdefault(x.vec_id, set()).add((x.n_links, x.component_id))
+    assert by[200] == {(3, 200)} and by[201] == {(3, 200)} and by[202] == {(0, 202)} and by[None] == {(0, None)}
+    assert all(by[i] == {(0, i)} for i in (0, 49, 100, 149))
