@@ -25,7 +25,6 @@ the documents are replaced; others are kept, whatever their names.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .shared import bounded, mix, staged
 
-WINDOW, SHARE, LEAST, LITERAL, MAX_WINDOWS, PAIRS, KNOWN_BYTES = 8, 0.5, 13, 5, 2_000_000, 1 << 20, 64 << 20
+WINDOW, SHARE, LEAST, LITERAL, MAX_WINDOWS, PAIRS = 8, 0.5, 13, 5, 2_000_000, 1 << 20
 #: Template tokens are 64-bit numbers: these placeholders, or the hash of a word, which holds within a process.
 NUMBER, NAME, UNIT = PLACEHOLDERS = 1, 2, 3
 #: Units of measure and currency in their common short and long forms.
@@ -46,69 +45,43 @@ UNITS = frozenset(
     "s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros percent usd eur gbp mph kmh kph".split()
 )
-_BARE = re.compile(r"[\W_]+")
-_NUM = re.compile(r"[+\-$€£]*\d[\d.,:/%]*")
+#: Patterns of Arrow's kernels. Signs around a word do not count, so `(12)` and `"12,5"` are numbers.
+_BARE, _NUM, _ENDS, _CAPITAL = r"[^\p{L}\p{N}]+", r"^[()\[\]\"'!?;]*[+\-$€£]*\d[\d.,:/%]*[()\[\]\"'!?;]*$", r"[.!?:]$|^$", r"^\p{Lu}"
 _NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 
 
-def _word(w: str):
-    """(letters and digits in lower case, is a number, may be a unit, is capitalised, ends a sentence) of a word."""
-    bare = _BARE.sub("", w)
-    low = bare.lower()
-    number = bool(bare) and bare[0].isdigit() and _NUM.fullmatch(w.strip("()[]\"'!?;")) is not None or low in _NUMBER_WORDS
-    return low, number, low in UNITS, bool(bare) and bare[0].isupper() and not bare.isupper(), w[-1:] in (".", "!", "?", ":", "")
-
-
-class Reader:
-    """Template tokens of texts; what is known of a word is kept, up to KNOWN_BYTES."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self):
-        self.known: dict[str, int] = {}
-        self.value, self.flags, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.uint8), 0
-
-    def _learn(self, words) -> None:
-        n = len(self.known)
-        while n + len(words) > len(self.value):
-            self.value, self.flags = np.concatenate([self.value, self.value]), np.concatenate([self.flags, self.flags])
-        for i, w in enumerate(words, n):
-            low, *flags = _word(w)
-            self.known[w] = i
-            self.value[i], self.flags[i] = hash(low), sum(f << b for b, f in enumerate((not low, *flags)))
-            self.held += 4 * len(w) + 200
-
-    def read(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template tokens and the bare words behind them, of all texts in a row, and where each text's begin.
-
-        Words without letters and digits are left out.
-        """
-        if self.held > KNOWN_BYTES:
-            self.clear()
-        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()).fill_null("") if isinstance(texts, list) else texts.cast(pa.large_string()).fill_null(""))
-        size = split.offsets.to_numpy() - split.offsets[0].as_py() if len(split) else np.zeros(1, np.int64)
-        words = split.flatten().dictionary_encode()
-        own = words.dictionary.to_pylist()
-        self._learn([w for w in own if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[words.indices.to_numpy()] if own else np.zeros(0, np.int64)
-        flags = self.flags[at]
-        void, number, unit, capital, ends = (flags & (1 << b) > 0 for b in range(5))
-        opening = np.r_[True, ends[:-1]] if len(at) else ends
-        opening[size[:-1][size[:-1] < len(at)]] = True
-        keep = ~void
-        bounds = np.r_[0, np.cumsum(keep)][size]
-        values, number, opening = self.value[at[keep]], number[keep], opening[keep]
-        after = np.r_[False, number[:-1]] if len(number) else number
-        after[bounds[:-1][bounds[:-1] < len(number)]] = False
-        kinds = np.where(capital[keep] & ~opening, NAME, values)
-        kinds[unit[keep] & after] = UNIT
-        kinds[number] = NUMBER
-        return kinds, values, bounds
+def read(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens and the bare words behind them, of all texts in a row, and where each text's begin.
+
+    Words without letters and digits are left out. What a word is, is found once for each distinct word of the texts.
+    """
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+    split = pc.utf8_split_whitespace(texts.fill_null(""))
+    size = split.offsets.to_numpy() - split.offsets[0].as_py() if len(split) else np.zeros(1, np.int64)
+    words = split.flatten().dictionary_encode()
+    own, at = words.dictionary, words.indices.to_numpy()
+    bare = pc.replace_substring_regex(own, _BARE, "")
+    low = pc.utf8_lower(bare)
+    value = np.fromiter(map(hash, low.to_pylist()), np.int64, len(low))
+    flag = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+    is_number = flag(pc.match_substring_regex(own, _NUM)) | flag(pc.is_in(low, pa.array(sorted(_NUMBER_WORDS), low.type)))
+    is_name = flag(pc.match_substring_regex(bare, _CAPITAL)) & ~flag(pc.utf8_is_upper(bare))
+    keep, number, unit, capital = (x[at] for x in (flag(pc.not_equal(low, "")), is_number, flag(pc.is_in(low, pa.array(sorted(UNITS), low.type))), is_name))
+    ends = flag(pc.match_substring_regex(own, _ENDS))[at]
+    opening = np.r_[True, ends[:-1]] if len(at) else ends
+    opening[size[:-1][size[:-1] < len(at)]] = True
+    bounds = np.r_[0, np.cumsum(keep)][size]
+    values, number, opening = value[at[keep]], number[keep], opening[keep]
+    after = np.r_[False, number[:-1]] if len(number) else number
+    after[bounds[:-1][bounds[:-1] < len(number)]] = False
+    kinds = np.where(capital[keep] & ~opening, NAME, values)
+    kinds[unit[keep] & after] = UNIT
+    kinds[number] = NUMBER
+    return kinds, values, bounds
 
 
 def template(text: str | None) -> tuple[list[int], list[int]]:
-    kinds, values, _ = Reader().read([text])
+    kinds, values, _ = read([text])
     return kinds.tolist(), values.tolist()
 
 
@@ -159,10 +132,9 @@ class Benchmark:
     """Items and, for each window length in use, the sorted hashes of their windows with item and position."""
 
     def __init__(self, rows: list[tuple[int, str]], size: int):
-        self.reader = Reader()
         self.items = []
         found: dict[int, list] = {}
-        every, every_value, bounds = self.reader.read([t for _, t in rows])
+        every, every_value, bounds = read([t for _, t in rows])
         for k, (name, _) in enumerate(rows):
             kinds, values = every[bounds[k] : bounds[k + 1]], every_value[bounds[k] : bounds[k + 1]]
             self.items.append((name, kinds.tolist(), values.tolist()))
@@ -199,7 +171,7 @@ class Benchmark:
 
     def matches(self, texts, share: float, least: int, literal: int) -> list[dict[int, int]]:
         """{item_id: longest accepted stretch} of each text."""
-        kinds, values, bounds = self.reader.read(texts)
+        kinds, values, bounds = read(texts)
         out: list[dict[int, int]] = [{} for _ in texts]
         if not len(kinds):
             return out
