@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .shared import bounded, new_path, staged
 
 MAGIC, CHUNK, END_ID = b"TWBP1\n", 1 << 16, 2
-KNOWN_BYTES, SHARD_BYTES = 64 << 20, 128 << 20
+KNOWN_BYTES, SHARD_BYTES = 128 << 20, 128 << 20
 
 
 def encode_chunk(ids: np.ndarray) -> tuple[bytes, list[int]]:
