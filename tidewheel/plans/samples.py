@@ -66,22 +66,28 @@ TABLES = {
 }
 
 
-def frame(spark, name):
-    schema, rows = TABLES[name]
-    return spark.createDataFrame(rows, schema)
+_SQL_TYPES = {"string": "varchar", "long": "bigint", "int": "integer", "double": "double", "boolean": "boolean"}
 
 
-_SQL_TYPES = {"string": "varchar", "long": "bigint", "int": "integer", "double": "double", "boolean": "boolean"}
+def _values(rows) -> str:
+    def literal(v):
+        return "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower()
 
+    return ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
 
-def cte(name: str) -> str:
+
+def frame(spark, name):
+    """The table as literals of the plan, whose size Spark knows, so that it joins them without a shuffle."""
     schema, rows = TABLES[name]
     columns = [c.split() for c in schema.split(", ")]
+    names = ", ".join(f"`{c}`" for c, _ in columns)
+    return spark.sql(f"select {', '.join(f'cast(`{c}` as {t}) as `{c}`' for c, t in columns)} from values {_values(rows)} as v({names})")
 
-    def literal(v):
-        return "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower()
 
-    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+def cte(name: str) -> str:
+    schema, rows = TABLES[name]
+    columns = [c.split() for c in schema.split(", ")]
+    values = _values(rows)
     names = ", ".join(f'"{c}"' for c, _ in columns)
     casts = ", ".join(f'cast("{c}" as {_SQL_TYPES[t]}) as "{c}"' for c, t in columns)
     return f"{name} as (select {casts} from (values {values}) as v({names}))"
