@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import bounded, crc_mod5
 
-SAMPLE, ROUNDS, SMOOTH, UNKNOWN, LONGEST = 3000, 3, 0.05, 1e-7, 64
+SAMPLE, ROUNDS, SMOOTH, UNKNOWN, LONGEST, FEW_LANGUAGES = 3000, 3, 0.05, 1e-7, 64, 10_000
 MARK = "▁"
 LETTERS = regex.compile(r"\p{L}+")
 KNOWN_BYTES = 128 << 20
@@ -134,9 +134,14 @@ def train(docs: DataFrame, pieces: list[str], sample: int = SAMPLE):
     """The word counts of at most `sample` documents (one of each language at least) come to the driver."""
     own = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_mod5(F.col("doc_id")) != 0)
     own = own.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    each = min(1000, max(1, sample // max(own.select("lang").distinct().count(), 1)))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("rows"))
+    several = sizes.count()
+    each = min(1000, max(1, sample // max(several, 1)))
+    # hashes are even, so about four times what is needed lies below this share of them: nothing else is shuffled
+    low = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("rows") <= 4.0 * each + 40
+    few = own.select("lang", "h").join(F.broadcast(sizes) if several <= FEW_LANGUAGES else sizes, "lang").where(low)
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut to `each` rows a language before the shuffle
-    chosen = own.select("lang", "h", order.alias("place")).where(F.col("place") <= each).select("lang", "h").distinct()
+    chosen = few.select("lang", "h", order.alias("place")).where(F.col("place") <= each).select("lang", "h").distinct()
     rows = own.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def run(batches):
