@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .automaton import Automaton
 from .shared import bounded, chunks
 
+SCAN_BYTES = 1 << 20  # lanes side by side in a step
+
 
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -59,7 +61,7 @@ def compiled():
 def text_spans(texts: pa.Array):
     """For each text its spans (start, kind number, end) in code points."""
     starts, rules = compiled()
-    for lo, hi, data, offsets in chunks(texts):
+    for lo, hi, data, offsets in chunks(texts, SCAN_BYTES):
         found: list[list] = [[] for _ in range(hi - lo)]
         marks = starts.scan(data, offsets)
         if len(marks):

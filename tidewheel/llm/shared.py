@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES, ROWS = 1 << 20, 2000
+CHUNK_BYTES, SLICE_BYTES, ROWS = 1 << 18, 4 << 20, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,12 +56,12 @@ def discard(*frames: DataFrame) -> None:
 
 
 def bounded(batches, at: int):
-    """Arrow batches in slices of about CHUNK_BYTES * 4 of text (column `at`) or ROWS rows, whole rows each; nothing is copied."""
+    """Arrow batches in slices of about SLICE_BYTES of text (column `at`) or ROWS rows, whole rows each; nothing is copied."""
     for batch in batches:
         _, offsets = buffers(batch.column(at))
         lo = 0
         while lo < batch.num_rows:
-            hi = int(np.searchsorted(offsets, offsets[lo] + 4 * CHUNK_BYTES, side="right")) - 1
+            hi = int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, side="right")) - 1
             hi = min(max(hi, lo + 1), lo + ROWS, batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi
