@@ -97,6 +97,47 @@ def test_tokens_equal_the_library(spark):
     assert token_files.tokenise(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
 
 
+def encoded(encoder, monkeypatch, texts, step):
+    """Bytes of text that the library was given, and the ids."""
+    import pyarrow as pa
+
+    given, library = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda x: given.append(sum(map(len, x))) or library(x))
+    got = [ids for lo in range(0, len(texts), step) for ids in encoder.encode(pa.array(["  skipped"] + texts[lo : lo + step], pa.string()).slice(1))]
+    return sum(given), [list(x) for x in got]
+
+
+def test_frequent_pieces_outlive_rare_ones(monkeypatch):
+    """When the known pieces grow beyond their bytes, words of every text are not encoded again."""
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(3)
+    common = [f"commonword{i}" for i in range(300)]
+    texts = ["start " + " ".join([*common, *(f"x{int(r.integers(1 << 40))}" for _ in range(100))]) for _ in range(60)]
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 200_000)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        given, got = encoded(token_files.Encoder(f.read(), True), monkeypatch, texts, 2)
+    tok = Tokenizer.from_file(TOKENIZER)
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert given < 1.1 * len(" ".join({" " + w for t in texts for w in t.split(" ")}))
+
+
+@pytest.mark.parametrize("added", [True, False])
+@pytest.mark.parametrize("known", [0, 20_000, 1 << 27])
+def test_encoder_equals_the_library_on_odd_texts(monkeypatch, added, known):
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(known % 97)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u180e", "\ufeff", "'s", "'", "a", "Bc", "é", "漢字", "🙂", "12", "٣", "...", "<|endoftext|>", "<|endof", "text|>", "\x00", "the"]
+    texts = ["".join(r.choice(parts, int(r.integers(0, 14)))) for _ in range(1500)] + ["", "", None, "a " * 3000, " b" * 3000]
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", known)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        _, got = encoded(token_files.Encoder(f.read(), added), monkeypatch, texts, 100)
+    tok = Tokenizer.from_file(TOKENIZER)
+    tok.encode_special_tokens = not added
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_stages_keep_null_and_repeated_ids(spark, monkeypatch):
     import corpus_pipeline
 

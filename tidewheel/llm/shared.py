@@ -55,13 +55,13 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded(batches, at: int):
-    """Arrow batches in slices of about SLICE_BYTES of text (column `at`) or ROWS rows, whole rows each; nothing is copied."""
+def bounded(batches, at: int, limit: int = SLICE_BYTES):
+    """Arrow batches in slices of about `limit` bytes of text (column `at`) or ROWS rows, whole rows each; nothing is copied."""
     for batch in batches:
         _, offsets = buffers(batch.column(at))
         lo = 0
         while lo < batch.num_rows:
-            hi = int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, side="right")) - 1
+            hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
             hi = min(max(hi, lo + 1), lo + ROWS, batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi

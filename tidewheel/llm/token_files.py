@@ -24,20 +24,26 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded, new_path, staged
+from .shared import bounded, buffers, new_path, staged
 
 MAGIC, CHUNK, END_ID = b"TWBP1\n", 1 << 16, 2
 KNOWN_BYTES, SHARD_BYTES = 128 << 20, 128 << 20
+PIECE_BYTES = 192  # of a known piece beside its string: places in the dictionary and arrays
+ENCODE_BYTES, GATHER = 1 << 20, 1 << 16  # text of a call to encode; pieces put together at once
+_BLANK = np.array([i < 128 and chr(i).isspace() for i in range(256)])
 
 
 def encode_chunk(ids: np.ndarray) -> tuple[bytes, list[int]]:
@@ -122,10 +128,12 @@ def read_shard(source):
 
 
 class Encoder:
-    """The library's ids of whole texts, each distinct piece encoded once.
+    """The library's ids of whole texts, each distinct piece encoded once as long as it is remembered.
 
-    Pieces are cut before single blanks. The vocabulary's splitting pattern takes such a blank with what
-    follows, so a cut there changes nothing; a text in which a blank touches other white space is encoded whole.
+    Texts are cut before each blank, which stays with the piece that follows. The vocabulary's splitting pattern takes
+    a single blank with what follows, so a cut there changes nothing; a text in which a blank touches other white space
+    is encoded whole. Cutting, counting distinct pieces and putting ids together are array operations; Python sees
+    each distinct piece of a call once.
     """
 
     def __init__(self, source: str, added_tokens: bool = False):
@@ -135,48 +143,110 @@ class Encoder:
         self.tok = Tokenizer.from_str(source)
         self.tok.encode_special_tokens = not added_tokens
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added_tokens else []
-        self.known: dict[str, bytes] = {}  # ids of a piece with a blank before it
-        self.first: dict[str, bytes] = {}  # ids of a text's first piece
-        self.held = 0  # bytes in both
         vocab = self.tok.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id; a byte is a character in the vocabulary
         for token, i in vocab.items():
             self.width[i] = len(token)
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that end with no blank, encoded as one text with a blank before each and cut by their bytes."""
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in pieces])) + 1
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # place of a piece; one without a blank before it is the first of its text
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # ids of the piece in place i: ids[at[i] : at[i + 1]]
+        self.hits = np.zeros(0, np.int64)
+        self.held = 0  # bytes of all these
+
+    def _learn(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(names), np.int64)])
+        self.held += sum(map(sys.getsizeof, names)) + PIECE_BYTES * len(names) + ids.nbytes
+
+    def _trim(self) -> None:
+        """Keep the half of the pieces that were met most often."""
+        keep = np.zeros(len(self.hits), bool)
+        keep[np.argsort(self.hits, kind="stable")[(len(keep) + 1) // 2 :]] = True
+        names, sizes, hits = list(compress(self.known, keep.tolist())), np.diff(self.at), self.hits[keep] // 2
+        ids = self.ids[np.repeat(keep, sizes)]
+        self._forget()
+        self._learn(names, ids, sizes[keep])
+        self.hits = hits
+        if self.held > KNOWN_BYTES:
+            self._forget()
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces that begin with a blank and end with none, encoded as one text; number of each piece's, by its bytes)."""
+        (ids,) = self._library(["".join(pieces)])
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths)) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _places(self, words: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each distinct piece, -1: not known; whether white space beside its blank or at its end forbids a cut)."""
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        raw, offsets = buffers(words)
+        odd = np.zeros(len(names), bool)
+        fresh = np.flatnonzero(at < 0)
+        begin, end = offsets[fresh], offsets[fresh + 1] - 1
+        after = np.where(raw[begin] == 32, raw[np.minimum(begin + 1, end)], 65) if len(fresh) else np.zeros(0, np.uint8)
+        odd[fresh] = _BLANK[after] | _BLANK[raw[end]]
+        for i in fresh[((after | raw[end]) > 127) & ~odd[fresh]].tolist():
+            odd[i] = names[i][-1].isspace() or names[i][0] == " " and names[i][1].isspace()
+        return at, odd
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         if self.held > KNOWN_BYTES:
-            self.known, self.first, self.held = {}, {}, 0
-        cut: list[list[str] | None] = []
-        firsts, new = set(), set()
-        for t in texts:
-            pieces = t.split(" ")
-            fresh = set(pieces[1:]).difference(self.known)
-            if any(a in t for a in self.added) or len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()) or any(not x or x[0].isspace() or x[-1].isspace() for x in fresh):
-                cut.append(None)
-            else:
-                firsts.add(pieces[0])
-                cut.append(pieces)
-                new |= fresh
-        firsts = list(firsts.difference(self.first))
-        self.first.update(zip(firsts, self._library(firsts), strict=True))
-        rest = list(new)
-        for lo in range(0, len(rest), 512):
-            part = rest[lo : lo + 512]
-            self.known.update(zip(part, self._joined(part), strict=True))
-        self.held += sum(4 * len(p) + len(self.first[p]) + 200 for p in firsts) + sum(4 * len(p) + len(self.known[p]) + 200 for p in rest)
-        whole = iter(self._library([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        get = self.known.__getitem__
-        return [next(whole) if pieces is None else self.first[pieces[0]] + b"".join(map(get, pieces[1:])) for pieces in cut]
+            self._trim()
+        texts = texts.cast(pa.large_string()).fill_null("")
+        raw, offsets = buffers(texts)
+        raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        mark = raw == 32
+        mark[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        cuts = np.append(np.flatnonzero(mark), len(raw))
+        bounds = np.searchsorted(cuts[:-1], offsets)  # each text's pieces
+        coded = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
+        piece, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at, odd = self._places(coded.dictionary, names)
+
+        whole = np.full(len(texts), any(" " in a for a in self.added))  # joined pieces could make such a string
+        whole[np.searchsorted(bounds, np.flatnonzero(odd[piece]), side="right") - 1] = True
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        cut = np.repeat(~whole, np.diff(bounds))
+        met = np.bincount(piece[cut], minlength=len(names))
+
+        fresh = np.flatnonzero((at < 0) & (met > 0))
+        text, offsets = buffers(coded.dictionary)
+        blank, lengths = text[offsets[fresh]] == 32, np.diff(offsets)
+        order = np.concatenate([fresh[blank], fresh[~blank]])
+        new = [names[i] for i in order.tolist()]
+        ids, sizes, n = [], [], int(blank.sum())
+        for lo in range(0, n, 512):
+            hi = min(lo + 512, n)
+            got, size = self._joined(new[lo:hi], lengths[order[lo:hi]])
+            ids.append(got)
+            sizes.append(size)
+        firsts = self._library(new[n:])
+        at[order] = np.arange(len(new)) + len(self.known)
+        self._learn(new, np.concatenate([*ids, *firsts, np.zeros(0, np.uint32)]), np.concatenate([*sizes, [len(x) for x in firsts]]).astype(np.int64))
+        self.hits[at[met > 0]] += met[met > 0]
+
+        place = at[piece]
+        begin = self.at[place]
+        sizes = np.where(cut, self.at[place + 1] - begin, 0)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        flat = np.empty(int(ends[-1]), np.uint32)
+        for lo in range(0, len(place), GATHER):
+            hi = min(lo + GATHER, len(place))
+            flat[ends[lo] : ends[hi]] = self.ids[np.repeat(begin[lo:hi] - ends[lo:hi], sizes[lo:hi]) + np.arange(ends[lo], ends[hi])]
+        where = ends[bounds].tolist()
+        out = [flat[a:z] for a, z in zip(where[:-1], where[1:], strict=True)]
+        asked = np.flatnonzero(whole)
+        for i, ids in zip(asked.tolist(), self._library(texts.take(pa.array(asked)).to_pylist()), strict=True):
+            out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -208,18 +278,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         shard = TaskContext.get().partitionId()
         trial = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
         tokens = 0
-        for batch in bounded(batches, 1):
+        for batch in bounded(batches, 1, ENCODE_BYTES):
             if writer is None:
                 tok = encoder(held.value, added_tokens)
                 fs.create_dir(root)
                 sink = fs.open_output_stream(trial)
                 writer = ShardWriter(sink)
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(names), 256):
-                for name, got in zip(names[lo : lo + 256], tok.encode([t or "" for t in texts[lo : lo + 256]]), strict=True):
-                    ids = np.append(np.frombuffer(got, np.uint32), np.uint32(end_id))
-                    tokens += len(ids)
-                    writer.add(name, ids)
+            for name, got in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1)), strict=True):
+                ids = np.append(got, np.uint32(end_id))
+                tokens += len(ids)
+                writer.add(name, ids)
         if writer is not None:
             writer.close()
             sink.close()
